@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pathloom.llm.leakage import leaks
 from pathloom.llm.lookalike import look_form, same_look_pairs, unified
 from pathloom.llm.packing import pack
+from pathloom.llm.quality import not_prose, text_quality
 from pathloom.llm.tokens import token_count
 from pathloom.llm.topn import top_n_per_group
 from pathloom.operators.skew import hot_keys, replicate, spread
@@ -72,7 +73,15 @@ def p7_leaked_items(spark: SparkSession, d: str) -> DataFrame:
     return per.select("item_id", "docs", F.round(F.col("most") / F.col("stretches"), 6).alias("largest_share"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_top_of_name, p5_found, p5_forms, p6_pack, p7_found, p7_leaked_items)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return not_prose(table(spark, d, "documents"), table(spark, d, "common_words"), key="doc_id", text="text", lang="lang")
+
+
+def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return text_quality(table(spark, d, "documents"), table(spark, d, "common_words"), key="doc_id", text="text", lang="lang")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_top_of_name, p5_found, p5_forms, p6_pack, p7_found, p7_leaked_items, p8_found, p8_statistics)}
 
 _ONCE = """WITH once AS (
   SELECT DISTINCT hit_id, query_id, path, name, score, mtime FROM search_results WHERE score IS NOT NULL AND NOT isnan(score))
