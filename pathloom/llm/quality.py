@@ -15,8 +15,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Mapping, Sequence
-from itertools import repeat
-from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -29,9 +27,9 @@ from pathloom.session import durable
 
 STATISTICS = ("word_length", "common_share", "symbol_share", "digit_share", "stop_share", "marked_share", "log_words_per_line", "separators_per_word", "running_share", "repeat_share")
 #: Least standard deviation of each statistic, so that statistics that hardly vary in prose don't rule the distance.
-FLOORS = (0.3, 0.04, 0.02, 0.02, 0.2, 0.1, 0.3, 0.05, 0.1, 0.05)
-#: Squared distance beyond which a block is not prose; terse and technical prose reaches 50, junk begins near 60.
-CUTOFF = 52.0
+FLOORS = (0.3, 0.04, 0.02, 0.02, 0.35, 0.1, 0.3, 0.05, 0.1, 0.1)
+#: Squared distance beyond which a block is not prose; terse and technical prose stays below 45, word salad begins near 55.
+CUTOFF = 50.0
 FIT_CHARS = 80
 CORE = 0.6
 STEPS = 4
@@ -41,11 +39,12 @@ LEAST_BLOCKS = 30
 LEARNED_WORDS, LEARN_DOCS = 30, 5
 ANY = "*"
 
-_WORD = re.compile(r"[^\W\d_]+(?:[’'][^\W\d_]+)*")
+_WORD = re.compile(r"[^\W\d_]+")
 _MARK = re.compile(r"\s*(?:[-*•+·–]+|\d+[.):]|\[[ xX]?\]|[a-zA-Z][.)]|- \[[ x]\])\s")
 _QUOTED = re.compile(r"^[ \t]*(?:[>#]+|//)[ \t]+")
 _GAPS = re.compile(r"[ \t]{2,}|\t")
-_CELL = re.compile(r"\S(?: {2,}|\t)(?=\S)|\S,(?=[^\s\d])")
+_CELL = re.compile(r"[^\s.?!:;](?: {2,}|\t)(?=\S)|\S,(?=[^\s\d])")
+_WIDE = re.compile(r"\S {2,}(?=\S)")
 _SENTENCE = re.compile(r"(?<=[.?!])[\"'”»)]*\s+")
 _CLOSERS = "\"'”»)] \t"
 _BITS = 24
@@ -120,36 +119,42 @@ class Profile:
 
 
 #: Half-widths, below and above a language's usual share of common words, in which an unpunctuated piece can be a sentence.
-_BELOW, _ABOVE = 0.2, 0.18
+_BELOW, _ABOVE = 0.2, 0.16
 #: Such pieces are kept by their share of common words, in steps of this, until the usual share is known.
-_STEP, _STEPS = 0.05, 20
+_STEP, _STEPS = 0.025, 40
+
+
+def _cells(line: str) -> int:
+    """Places where cells of a table row meet: wide gaps, and commas with a text right behind them."""
+    if "  " in line or "\t" in line or line.count(",") > line.count(", ") + (line[-1] == ","):
+        return len(_CELL.findall(line))
+    return 0
 
 
 def _line_facts(line: str, profile: Profile):
-    """Everything the blocks need of one logical line, in one pass over its sentences."""
+    """Everything the blocks need of one logical line, in one pass over its sentences.
+
+    (line, words, letters, packed counts of common words, repeated words, marked, cells, tokens, ends a sentence, pieces)
+    """
     pieces = []
     words_n = letters = packed = again = 0
-    cells = len(_CELL.findall(line))
+    cells = _cells(line)
     marked = _marked(line)
+    look, find = profile.pack.get, _WORD.findall
     for piece in _SENTENCE.split(line):
-        words = _WORD.findall(piece.lower())
+        words = find(piece.lower())
         k = len(words)
         if not k:
             continue
-        p = sum(map(profile.pack.get, words, repeat(0)))
+        p = sum(filter(None, map(look, words)))
+        new = len(set(words))
         words_n += k
-        letters += sum(map(len, words))
+        letters += len("".join(words))
         packed += p
-        again += sum(sum(map(eq, words, words[d:])) for d in (1, 2, 3, 4))
+        again += k - new
         if k >= 4 and not marked and cells < 2:
-            proper = piece[:1].isupper() and _stops(piece)
-            pieces.append((len(piece), k, p, proper, k >= 7 and len(set(words)) > 0.5 * k))
-    tokens = line.split()
-    solid = sum(map(len, tokens))
-    digits = sum(map(line.count, "0123456789"))
-    plain = sum(map(line.count, ".,?!'’;:\""))
-    seps = sum(map(line.count, ",;|\t:=")) + (len(re.findall(r"\S {2,}(?=\S)", line)) if "  " in line else 0)
-    return len(line), words_n, letters, packed, again, marked, cells, len(tokens), solid, digits, plain, seps, _stops(line), pieces
+            pieces.append((len(piece), k, p, piece[:1].isupper() and _stops(piece), k >= 7 and new > 0.5 * k))
+    return line, words_n, letters, packed, again, marked, cells, len(line.split()), _stops(line), pieces
 
 
 def block_statistics(text: str, declared: str | None, profile: Profile) -> list[tuple[str | None, int, list[float], list[float]]]:
@@ -166,30 +171,36 @@ def block_statistics(text: str, declared: str | None, profile: Profile) -> list[
     out = []
 
     def close(block: list) -> None:
-        n, k = sum(f[0] for f in block), sum(f[1] for f in block)
+        whole = "\n".join(f[0] for f in block)
+        n, k, m = len(whole) - len(block) + 1, sum(f[1] for f in block), len(block)
         lang = doc_lang
         if k >= 12:
             s, best = profile.best(sum(f[3] for f in block), k)
             lang = best if s >= 0.2 else lang
         common, proper_n, pieces = 0, 0, [0.0] * _STEPS
+        shift = _BITS * max(lang, 0)
         for f in block:
-            own = lang
-            if f[1] >= 10:  # a line may be a quotation in another language
-                s, best = profile.best(f[3], f[1])
-                own = best if s >= 0.2 else lang
-            shift = _BITS * max(own, 0)
             common += f[3] >> shift & mask
-            for size, pk, pp, proper, may in f[13]:
+            for size, pk, pp, proper, may in f[9]:
+                own = pp >> shift & mask
+                if pk >= 8 and own < 0.25 * pk:  # a sentence may be a quotation in another language
+                    s, best = profile.best(pp, pk)
+                    if s >= 0.25:
+                        common += round(s * pk) - own
+                        own = s * pk
                 if proper:
                     proper_n += size
                 elif may:
-                    pieces[min(_STEPS - 1, int((pp >> shift & mask) / pk / _STEP))] += size / n
-        letters, again = sum(f[2] for f in block), sum(f[4] for f in block)
-        tokens, solid, digits, plain, seps = (sum(f[j] for f in block) for j in (7, 8, 9, 10, 11))
-        m = len(block)
+                    pieces[min(_STEPS - 1, int(own / pk / _STEP))] += size / n
+        count = whole.count
+        letters, again, tokens = sum(f[2] for f in block), sum(f[4] for f in block), sum(f[7] for f in block)
+        solid = len("".join(whole.split()))
+        digits = sum(map(count, "0123456789"))
+        plain = sum(map(count, ".,?!'’;:\""))
+        seps = sum(map(count, ",;|\t:=")) + (len(_WIDE.findall(whole)) if "  " in whole else 0)
         stats = [
             letters / max(k, 1), common / max(k, 1), max(0, solid - letters - digits - plain) / max(solid, 1), digits / max(solid, 1),
-            sum(f[12] for f in block) / m, sum(f[5] for f in block) / m, float(np.log1p(tokens / m)), seps / max(tokens, 1), proper_n / max(n, 1), min(1.0, again / max(k, 1)),
+            sum(f[8] for f in block) / m, sum(f[5] for f in block) / m, float(np.log1p(tokens / m)), seps / max(tokens, 1), proper_n / max(n, 1), again / max(k, 1),
         ]
         out.append((profile.languages[lang] if lang >= 0 else None, n, stats, pieces))
 
@@ -303,15 +314,15 @@ def fit_prose(blocks_: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     x = [F.col("s")[k] for k in range(d)]
     rows = blocks_.where(F.col("chars") >= FIT_CHARS).withColumn("g", F.explode(F.array_distinct(F.array(F.coalesce("language", F.lit(ANY)), F.lit(ANY)))))
     floor = np.array(FLOORS)
-    middle = {r["g"]: np.array(r["m"]) for r in rows.groupBy("g").agg(F.array(*[F.percentile_approx(c, 0.5, 1000) for c in x]).alias("m"), F.count(F.lit(1)).alias("n")).collect() if r["n"] >= LEAST_BLOCKS or r["g"] == ANY}
-    if not middle:
-        return {}
-    rows = rows.where(F.col("g").isin(list(middle)))
-    at = F.create_map(*[F.lit(v) for g, m in middle.items() for v in (g, m.tolist())])
-    off = [F.abs(c - at[F.col("g")][k]) for k, c in enumerate(x)]
+    begin = rows.groupBy("g").agg(F.array(*[F.percentile_approx(c, [0.25, 0.5, 0.75], 500) for c in x]).alias("q"), F.count(F.lit(1)).alias("n"))
     fits = {}
-    for r in rows.groupBy("g").agg(F.array(*[F.percentile_approx(c, 0.5, 1000) for c in off]).alias("m")).collect():
-        fits[r["g"]] = (middle[r["g"]], np.diag(1 / np.maximum(1.4826 * np.array(r["m"]), floor) ** 2))
+    for r in begin.collect():
+        if r["n"] >= LEAST_BLOCKS or r["g"] == ANY:
+            low, mid, high = np.array(r["q"]).T
+            fits[r["g"]] = (mid, np.diag(1 / np.maximum((high - low) / 1.349, floor) ** 2))
+    if not fits:
+        return {}
+    rows = rows.where(F.col("g").isin(list(fits)))
     pairs = [(i, j) for i in range(d) for j in range(i, d)]
     for _ in range(STEPS):
         far = rows.withColumn("d2", _squares(fits, False)("g", "s"))
