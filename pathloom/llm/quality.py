@@ -33,6 +33,8 @@ CUTOFF = 50.0
 FIT_CHARS = 80
 CORE = 0.6
 STEPS = 4
+#: Classes of squared distance per doubling when the core is found.
+_CLASSES = 8
 #: Languages with fewer blocks to fit on use the fit over all languages.
 LEAST_BLOCKS = 30
 #: Common words learned for a declared language that has none, if it has at least so many documents.
@@ -157,11 +159,11 @@ def _line_facts(line: str, profile: Profile):
     return line, words_n, letters, packed, again, marked, cells, len(line.split()), _stops(line), pieces
 
 
-def block_statistics(text: str, declared: str | None, profile: Profile) -> list[tuple[str | None, int, list[float], list[float]]]:
+def block_statistics(text: str, declared: str | None, profile: Profile) -> list[tuple[str | None, int, list[float], list[float] | None]]:
     """(language, characters, statistics, pieces) of every block of the text.
 
     ``running_share`` counts properly written sentences only; ``pieces`` has the share of characters of
-    other pieces long enough to be sentences, by their share of common words.
+    other pieces long enough to be sentences, by their share of common words, or is null without any.
     """
     paras = [[_line_facts(u, profile) for u in lines] for lines in _lines(text)]
     share, doc_lang = profile.best(sum(f[3] for p in paras for f in p), sum(f[1] for p in paras for f in p))
@@ -202,7 +204,7 @@ def block_statistics(text: str, declared: str | None, profile: Profile) -> list[
             letters / max(k, 1), common / max(k, 1), max(0, solid - letters - digits - plain) / max(solid, 1), digits / max(solid, 1),
             sum(f[8] for f in block) / m, sum(f[5] for f in block) / m, float(np.log1p(tokens / m)), seps / max(tokens, 1), proper_n / max(n, 1), again / max(k, 1),
         ]
-        out.append((profile.languages[lang] if lang >= 0 else None, n, stats, pieces))
+        out.append((profile.languages[lang] if lang >= 0 else None, n, stats, pieces if any(pieces) else None))
 
     for para in paras:
         block: list = []
@@ -247,7 +249,7 @@ def common_words_of(docs: DataFrame, common: DataFrame, *, text: str, lang: str,
 def blocks(docs: DataFrame, words: Mapping[str, Sequence[str]], *, key: str, text: str, lang: str) -> DataFrame:
     """``(key, language, chars, s array<double>, pieces array<float>)``; a document without text gives one row of no characters."""
     profile = Profile(words)
-    none = (None, 0, [0.0] * len(STATISTICS), [0.0] * _STEPS)
+    none = (None, 0, [0.0] * len(STATISTICS), None)
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -270,7 +272,7 @@ def with_running_share(made: DataFrame) -> DataFrame:
     mid = F.coalesce(F.try_element_at(table, group), F.lit(float(usual[ANY])))
     first = F.greatest(F.lit(0), F.floor((mid - _BELOW) / _STEP)).cast("int")
     last = F.least(F.lit(_STEPS - 1), F.floor((mid + _ABOVE) / _STEP)).cast("int")
-    more = F.aggregate(F.slice("pieces", first + 1, last - first + 1), F.lit(0.0), lambda a, v: a + v)
+    more = F.coalesce(F.aggregate(F.slice("pieces", first + 1, last - first + 1), F.lit(0.0), lambda a, v: a + v), F.lit(0.0))
     at = STATISTICS.index("running_share")
     s = [F.least(F.lit(1.0), F.col("s")[k] + more) if k == at else F.col("s")[k] for k in range(len(STATISTICS))]
     return made.withColumn("s", F.array(*s)).drop("pieces")
@@ -308,7 +310,7 @@ def _squares(fits: Mapping[str, tuple[np.ndarray, np.ndarray]], parts: bool):
 def fit_prose(blocks_: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """Robust (mean, inverse covariance) of each language and of all (``ANY``), over every block long enough.
 
-    Only sums come to the driver: a row of moments per language.
+    Only sums come to the driver: moments per language and class of distance.
     """
     d = len(STATISTICS)
     x = [F.col("s")[k] for k in range(d)]
@@ -325,17 +327,22 @@ def fit_prose(blocks_: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     rows = rows.where(F.col("g").isin(list(fits)))
     pairs = [(i, j) for i in range(d) for j in range(i, d)]
     for _ in range(STEPS):
-        far = rows.withColumn("d2", _squares(fits, False)("g", "s"))
-        core = {r["g"]: r["q"] for r in far.groupBy("g").agg(F.percentile_approx("d2", CORE, 1000).alias("q")).collect()}
-        edge = F.create_map(*[F.lit(v) for g, q in core.items() for v in (g, float(q))])
-        near = far.where(F.col("d2") <= edge[F.col("g")])
-        sums = near.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.sum(c) for c in x]).alias("a"), F.array(*[F.sum(x[i] * x[j]) for i, j in pairs]).alias("b"))
+        # one pass: moments by distance, in narrow classes, of which the nearest are added up to the core
+        far = rows.withColumn("k", F.floor(F.lit(_CLASSES) * F.log2(_squares(fits, False)("g", "s") + 1)))
+        sums = far.groupBy("g", "k").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.sum(c) for c in x]).alias("a"), F.array(*[F.sum(x[i] * x[j]) for i, j in pairs]).alias("b"))
+        by: dict[str, list] = {}
         for r in sums.collect():
-            mean = np.array(r["a"]) / r["n"]
+            by.setdefault(r["g"], []).append(r)
+        for g, classes in by.items():
+            classes.sort(key=lambda r: r["k"])
+            upto = np.cumsum([r["n"] for r in classes])
+            core = classes[: int(np.searchsorted(upto, CORE * upto[-1])) + 1]
+            n = sum(r["n"] for r in core)
+            mean = np.sum([r["a"] for r in core], axis=0) / n
             cov = np.zeros((d, d))
-            for (i, j), v in zip(pairs, r["b"]):
-                cov[i, j] = cov[j, i] = v / r["n"] - mean[i] * mean[j]
-            fits[r["g"]] = (mean, np.linalg.inv(cov + np.diag(floor**2)))
+            for (i, j), v in zip(pairs, np.sum([r["b"] for r in core], axis=0)):
+                cov[i, j] = cov[j, i] = v / n - mean[i] * mean[j]
+            fits[g] = (mean, np.linalg.inv(cov + np.diag(floor**2)))
     return fits
 
 
