@@ -1,8 +1,8 @@
 """Named queries over the test tables, with the SQL that checks them."""
 
-from pathloom.queries import records
+from pathloom.queries import files, records
 
-MODULES = [records]
+MODULES = [records, files]
 
 
 def all_queries():
