@@ -181,14 +181,16 @@ def abbreviation(name: Column, path: Column, q: str) -> Column:
     return F.when(best >= 0, F.struct(strategy.alias("strategy"), best.alias("score")))
 
 
-def search_abbreviation_score(path: Column, path_lc: Column, q: str) -> Column:
+def search_abbreviation_score(initials: Column, mask: Column, path_lc: Column, q: str) -> Column:
     """The best abbreviation score of a path that doesn't contain the query, null without a match.
 
+    ``initials`` and ``mask`` are the path's :func:`token_initials` and :func:`boundary_mask`, stored with the index.
+
     There the strategies exclude each other from above: initials reach 0.95, capitals stay below it,
     sequences end at 0.88, so the first that matches is the best; and one regular expression, which all
     of them imply, keeps the rest off most rows.
     """
-    chain = F.coalesce(component_score(token_initials(path), q), camel_score(boundary_mask(path), q), sequential_score(path_lc, q))
+    chain = F.coalesce(component_score(initials, q), camel_score(mask, q), sequential_score(path_lc, q))
     return F.when(is_subsequence(path_lc, q), chain)
 
 

@@ -81,7 +81,7 @@ def _scored(files: DataFrame, req: Request) -> DataFrame:
     if is_literal(q) or not q:
         hits = files.where(text).withColumn("score", score)
     else:
-        hits = files.withColumn("score", F.when(text, score).otherwise(search_abbreviation_score(F.col("path"), path, q).cast("float"))).where("score is not null")
+        hits = files.withColumn("score", F.when(text, score).otherwise(search_abbreviation_score(F.col("initials"), F.col("mask"), path, q).cast("float"))).where("score is not null")
     return hits.withColumn("place", F.col("context") + scope_boost(F.col("path"), F.col("depth"), scope_of(req.boost_scope, req.cwd)))
 
 
@@ -166,17 +166,36 @@ def search_dsl(files: DataFrame, raw: str, *, now: int, zone: str = "UTC", **opt
     return search(files, Request(term=parsed.term, filters=tuple(parsed.predicates()), **options))
 
 
+def _byte_grams(*texts: Column) -> Column:
+    """Distinct three-byte pieces of the texts."""
+
+    def of(text: Column) -> Column:
+        raw = F.encode(text, "utf-8")
+        return F.when(F.octet_length(raw) >= 3, F.transform(F.sequence(F.lit(1), F.octet_length(raw) - 2), lambda i: F.substring(raw, i, 3))).otherwise(F.array().cast("array<binary>"))
+
+    return F.array_distinct(F.concat(*[of(t) for t in texts]))
+
+
 def search_many(files: DataFrame, queries: DataFrame, *, query_id: str, term: str, limit: str) -> DataFrame:
     """Many substring searches in one job: ``(query_id, rank, path, score)``.
 
-    The stated queries meet the table in a nested loop over blocks of rows, the set of queries being
-    broadcast once it is counted small; every task keeps a query's best rows before they are shuffled.
-    Null and empty terms, and limits below one, find nothing.
+    Equal terms are answered once. A term of three bytes or more meets only the files that have its rarest
+    trigram, by an equi-join, and those are verified; shorter terms, of which there are few, are looked for in
+    every file. Every task keeps a term's best rows before they are shuffled. Null and empty terms, and
+    limits below one, find nothing.
     """
     asked = queries.where(F.col(limit) > 0).where(F.col(term) != "").groupBy(F.col(query_id).alias("q"), F.lower(term).alias("t")).agg(F.max(limit).alias("n"))
-    hits = files.join(broadcast_if_small(asked, 100_000), matches_text(F.col("name_lc"), F.col("path_lc"), F.col("t")))
-    scored = hits.withColumns({"score": name_score(F.col("name_lc"), F.col("t")), "place": F.col("context")})
-    ranked = scored.withColumn("rank", F.row_number().over(W.partitionBy("q", "t").orderBy(*_order(ORDER))))
-    return ranked.where(F.col("rank") <= F.col("n")).select(F.col("q").alias(query_id), "rank", "path", "score")
-
-
+    most = asked.agg(F.max("n")).first()[0] or 0
+    terms = asked.select("t").distinct()
+    slim = files.select("file_id", "path", "name_lc", "path_lc", "mtime", "depth", "context")
+    grams = slim.select("file_id", F.explode(_byte_grams(F.col("name_lc"), F.col("path_lc"))).alias("g"))
+    spread = grams.groupBy("g").agg(F.count(F.lit(1)).alias("files"))
+    long = F.octet_length("t") >= 3
+    parts = terms.where(long).select("t", F.explode(_byte_grams(F.col("t"))).alias("g")).join(spread, "g", "left")
+    rarest = parts.groupBy("t").agg(F.min(F.struct("files", "g")).alias("r"), F.count_if(F.col("files").isNull()).alias("missing")).where("missing = 0").select("t", F.col("r.g").alias("g"))
+    near = rarest.join(grams, "g").select("t", "file_id").join(slim, "file_id")
+    text = matches_text(F.col("name_lc"), F.col("path_lc"), F.col("t"))
+    found = near.where(text).unionByName(slim.join(broadcast_if_small(terms.where(~long), 100_000), text), allowMissingColumns=True)
+    scored = found.withColumns({"score": name_score(F.col("name_lc"), F.col("t")), "place": F.col("context")})
+    best = scored.withColumn("rank", F.row_number().over(W.partitionBy("t").orderBy(*_order(ORDER)))).where(F.col("rank") <= most)
+    return asked.join(best.select("t", "rank", "path", "score"), "t").where(F.col("rank") <= F.col("n")).select(F.col("q").alias(query_id), "rank", "path", "score")
