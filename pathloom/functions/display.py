@@ -66,4 +66,4 @@ def breadcrumbs(parts: list[str], width: int, separator: str = " ▸ ") -> str:
 def result_line(rank: Column, score: Column, mtime: Column, path: Column) -> Column:
     """A row of the printed table: rank, score with two places, modification time in UTC, path."""
     when = F.date_format(F.timestamp_seconds(mtime), "yyyy-MM-dd HH:mm")
-    return F.format_string("%4d  %5s  %s  %s", rank, F.format_number(score.cast("double"), "0.00"), when, path)
+    return F.format_string("%4d  %5.2f  %s  %s", rank, score.cast("double"), when, path)

@@ -32,7 +32,7 @@ def forget(events: DataFrame, forgotten: DataFrame) -> DataFrame:
     """
     last = forgotten.groupBy("path").agg(F.max("seq").alias("upto"))
     everything = last.where("path is null").agg(F.coalesce(F.max("upto"), F.lit(-(1 << 62))).alias("a"))
-    kept = events.join(last.where("path is not null"), "path", "left").where("upto is null or seq > upto")
+    kept = events.where("path is not null").join(last.where("path is not null"), "path", "left").where("upto is null or seq > upto")
     return kept.where(F.col("seq") > everything.scalar()).drop("upto")
 
 
