@@ -31,6 +31,8 @@ FLOORS = (0.3, 0.04, 0.02, 0.02, 0.35, 0.1, 0.3, 0.05, 0.1, 0.1)
 #: Squared distance beyond which a block is not prose; terse and technical prose stays below 45, word salad begins near 55.
 CUTOFF = 50.0
 FIT_CHARS = 80
+#: Words per line count up to this: how far a paragraph runs on says nothing about prose.
+LONG_LINE = 64
 CORE = 0.6
 STEPS = 4
 #: Classes of squared distance per doubling when the core is found.
@@ -202,7 +204,7 @@ def block_statistics(text: str, declared: str | None, profile: Profile) -> list[
         seps = sum(map(count, ",;|\t:=")) + (len(_WIDE.findall(whole)) if "  " in whole else 0)
         stats = [
             letters / max(k, 1), common / max(k, 1), max(0, solid - letters - digits - plain) / max(solid, 1), digits / max(solid, 1),
-            sum(f[8] for f in block) / m, sum(f[5] for f in block) / m, float(np.log1p(tokens / m)), seps / max(tokens, 1), proper_n / max(n, 1), again / max(k, 1),
+            sum(f[8] for f in block) / m, sum(f[5] for f in block) / m, float(np.log1p(min(tokens / m, LONG_LINE))), seps / max(tokens, 1), proper_n / max(n, 1), again / max(k, 1),
         ]
         out.append((profile.languages[lang] if lang >= 0 else None, n, stats, pieces if any(pieces) else None))
 
