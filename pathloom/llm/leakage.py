@@ -20,7 +20,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -75,34 +75,44 @@ def sketch(h: np.ndarray, run: int, shingle: int = SHINGLE) -> tuple[np.ndarray,
 
 
 def sketches(df: DataFrame, key: str, text: str, *, run: int, shingle: int = SHINGLE) -> DataFrame:
-    """``(key, minhash, stretches array<bigint>, words)``: each MinHash once for every place where it holds, with the exact hashes it stands for.
+    """``(key, minhash, stretches array<bigint>)``: each MinHash once for every place where it holds, with the exact hashes it stands for.
 
     Texts that are null or shorter than ``run`` words give no rows.
     """
     kind = dict(df.dtypes)[key]
 
-    def parts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            keys, mins, runs, sizes = [], [], [], []
-            for k, t in zip(frame["k"], frame["t"]):
-                h = word_hashes(t)
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, texts = batch.column(0), batch.column(1)
+            rows, mins, runs, lengths = [], [], [], []
+            held = 0
+            for row, t in enumerate(texts):
+                h = word_hashes(t.as_py())
                 for at in range(0, max(1, len(h) - run + 1), PART - run + 1):
                     least, exact = sketch(h[at : at + PART], run, shingle)
                     if not len(least):
                         continue
                     edges = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
-                    keys += [k] * len(edges)
-                    mins.append(least[edges].view(np.int64))
-                    runs += np.split(exact.view(np.int64), edges[1:])
-                    sizes += [len(h)] * len(edges)
-                if len(keys) > 50_000:
-                    yield pd.DataFrame({"key": keys, "minhash": np.concatenate(mins), "stretches": runs, "words": sizes})
-                    keys, mins, runs, sizes = [], [], [], []
-            if keys:
-                yield pd.DataFrame({"key": keys, "minhash": np.concatenate(mins), "stretches": runs, "words": sizes})
+                    rows.append(np.full(len(edges), row))
+                    mins.append(least[edges])
+                    runs.append(exact)
+                    lengths.append(np.diff(np.append(edges, len(exact))))
+                    held += len(exact)
+                if held > 500_000:
+                    yield _sketched(keys, rows, mins, runs, lengths)
+                    rows, mins, runs, lengths, held = [], [], [], [], 0
+            if rows:
+                yield _sketched(keys, rows, mins, runs, lengths)
 
     slim = df.select(F.col(key).alias("k"), F.col(text).alias("t")).where("k is not null and t is not null")
-    return slim.mapInPandas(parts, f"key {kind}, minhash bigint, stretches array<bigint>, words bigint")
+    return slim.mapInArrow(parts, f"key {kind}, minhash bigint, stretches array<bigint>")
+
+
+def _sketched(keys: pa.Array, rows: list, mins: list, runs: list, lengths: list) -> pa.RecordBatch:
+    """The parts of several texts as one batch; the lists of exact hashes are cut by offsets, not copied one by one."""
+    offsets = np.concatenate(([0], np.cumsum(np.concatenate(lengths)))).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(runs).view(np.int64)))
+    return pa.RecordBatch.from_arrays([keys.take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(mins).view(np.int64)), lists], ["key", "minhash", "stretches"])
 
 
 def leaks(
