@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 #: Up to this many snapshot ids become literals of the plan; more are joined.
-LITERAL_SNAPSHOTS = 4_096
+LITERAL_SNAPSHOTS = 256
 _SALTS = 64
 
 
