@@ -76,6 +76,8 @@ OTHER_ZERO_WIDTH = "͏ᅟᅠ឴឵ㅤﾠ᠋᠌᠍"
 SCRIPTS = ("Latin", "Cyrillic", "Greek")
 #: Distinct tokens whose spelling a worker remembers.
 TOKEN_CACHE = 1 << 16
+#: Longest text, in characters, whose form a worker remembers.
+SHORT = 300
 #: Only texts with other characters than these need settling.
 PLAIN = r"^[\x20-\x7e]*$"
 
@@ -162,15 +164,25 @@ def unify(text: str) -> tuple[str, bool, bool]:
     return unicodedata.normalize("NFC", _TOKEN.sub(one, plain)), mixed, whole
 
 
+@lru_cache(maxsize=TOKEN_CACHE)
+def _remembered(text: str) -> tuple[str, bool, bool]:
+    return unify(text)
+
+
+def _unified(text: str) -> tuple[str, bool, bool]:
+    """:func:`unify`, remembered for texts as short as names and paths, which come again and again."""
+    return _remembered(text) if len(text) <= SHORT else unify(text)
+
+
 @F.pandas_udf(T.StructType([T.StructField("form", T.StringType()), T.StructField("mixed", T.BooleanType()), T.StructField("whole", T.BooleanType())]))
 def _unify_udf(texts: pd.Series) -> pd.DataFrame:
-    done = [(None, None, None) if t is None else unify(t) for t in texts]
+    done = [(None, None, None) if t is None else _unified(t) for t in texts]
     return pd.DataFrame(done, columns=["form", "mixed", "whole"])
 
 
 @F.pandas_udf(T.StringType())
 def _form_udf(texts: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None else unify(t)[0] for t in texts], dtype=object)
+    return pd.Series([None if t is None else _unified(t)[0] for t in texts], dtype=object)
 
 
 def look_form(text: Column) -> Column:
@@ -181,15 +193,16 @@ def look_form(text: Column) -> Column:
 def unified(df: DataFrame, column: str, prefix: str = "look_") -> DataFrame:
     """Add ``look_form``, ``look_mixed`` and ``look_whole`` for ``column``; null texts give nulls. Columns of these names are replaced."""
     text = F.col(column)
-    done = df.withColumn("__u", _unify_udf(F.when(~text.rlike(PLAIN), text)))
     plain = text.rlike(PLAIN)
+    parts = "_" + max(df.columns, key=len)  # a name that no column has
+    done = df.withColumn(parts, _unify_udf(F.when(~plain, text)))
     return done.withColumns(
         {
-            f"{prefix}form": F.when(plain, text).otherwise(F.col("__u.form")),
-            f"{prefix}mixed": F.when(plain, F.lit(False)).otherwise(F.col("__u.mixed")),
-            f"{prefix}whole": F.when(plain, F.lit(False)).otherwise(F.col("__u.whole")),
+            f"{prefix}form": F.when(plain, text).otherwise(F.col(parts)["form"]),
+            f"{prefix}mixed": F.when(plain, F.lit(False)).otherwise(F.col(parts)["mixed"]),
+            f"{prefix}whole": F.when(plain, F.lit(False)).otherwise(F.col(parts)["whole"]),
         }
-    ).drop("__u")
+    ).drop(parts)
 
 
 def same_look_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
