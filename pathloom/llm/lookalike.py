@@ -76,10 +76,8 @@ OTHER_ZERO_WIDTH = "͏ᅟᅠ឴឵ㅤﾠ᠋᠌᠍"
 SCRIPTS = ("Latin", "Cyrillic", "Greek")
 #: Distinct tokens whose spelling a worker remembers.
 TOKEN_CACHE = 1 << 16
-#: Longest text, in characters, whose form a worker remembers.
-SHORT = 300
-#: Only texts with other characters than these need settling.
-PLAIN = r"^[\x20-\x7e]*$"
+#: Texts of nothing but these are their own form: plain ASCII and composed Latin letters that have no twin.
+PLAIN = r"^[\x20-\x7eÀ-ÖØ-öø-ıĴ-ľŁ-ňŊ-ž]*\z"
 
 _TOKEN = re.compile(r"[^\W\d_][^\W\d_̀-ͯ]*(?:[̀-ͯ]+[^\W\d_]*)*")
 
@@ -164,29 +162,19 @@ def unify(text: str) -> tuple[str, bool, bool]:
     return unicodedata.normalize("NFC", _TOKEN.sub(one, plain)), mixed, whole
 
 
-@lru_cache(maxsize=TOKEN_CACHE)
-def _remembered(text: str) -> tuple[str, bool, bool]:
-    return unify(text)
-
-
-def _unified(text: str) -> tuple[str, bool, bool]:
-    """:func:`unify`, remembered for texts as short as names and paths, which come again and again."""
-    return _remembered(text) if len(text) <= SHORT else unify(text)
-
-
 @F.pandas_udf(T.StructType([T.StructField("form", T.StringType()), T.StructField("mixed", T.BooleanType()), T.StructField("whole", T.BooleanType())]))
 def _unify_udf(texts: pd.Series) -> pd.DataFrame:
-    done = [(None, None, None) if t is None else _unified(t) for t in texts]
+    done = [(None, None, None) if t is None else unify(t) for t in texts]
     return pd.DataFrame(done, columns=["form", "mixed", "whole"])
 
 
 @F.pandas_udf(T.StringType())
 def _form_udf(texts: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None else _unified(t)[0] for t in texts], dtype=object)
+    return pd.Series([None if t is None else unify(t)[0] for t in texts], dtype=object)
 
 
 def look_form(text: Column) -> Column:
-    """The one form of a text; null for null, empty for empty. Plain ASCII stays in the JVM: only other texts reach Python."""
+    """The one form of a text; null for null, empty for empty. Plain Latin text stays in the JVM: only other texts reach Python."""
     return F.when(text.rlike(PLAIN), text).otherwise(_form_udf(F.when(~text.rlike(PLAIN), text)))
 
 

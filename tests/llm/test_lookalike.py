@@ -1,7 +1,10 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
-from pathloom.llm.lookalike import look_form, same_look_pairs, settle, unified, unify
+from pathloom.llm.lookalike import PLAIN, look_form, same_look_pairs, settle, unified, unify
 
 SAME = [
     ("ｒｅａｄｍｅ．ｔｘｔ", "readme.txt"), ("café", "café"), ("re​ad﻿me", "readme"), ("a b　c d", "a b c d"), ("x‐y‑z－w", "x-y-z-w"), ("раураl", "paypal"), ("ρasswοrd", "password"), ("ⅿаіn", "main"),
@@ -37,6 +40,15 @@ def test_idempotent_and_long():
     assert unify("")[0] == "" and unify("​")[0] == ""
 
 
+def test_plain_text_is_its_own_form():
+    plain = re.compile(PLAIN.replace(r"\z", r"\Z"))
+    letters = [c for c in map(chr, range(0x20, 0x250)) if plain.match(c)]
+    assert len(letters) > 200 and not plain.match("a\n")
+    random.seed(1)
+    for text in [*letters, "".join(letters), *("".join(random.choices(letters, k=30)) for _ in range(500))]:
+        assert unify(text) == (text, False, False)
+
+
 def test_columns(spark):
     df = spark.createDataFrame([(1, "ｘ", "old"), (2, None, "old"), (3, "", "old"), (4, "tab\there", "old"), (5, "раураl", "old")], "k bigint, t string, look_form string").withColumn("__u", F.lit(1))
     got = {r.k: (r.look_form, r.look_mixed, r.look_whole) for r in unified(df, "t").collect()}
