@@ -18,6 +18,7 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -252,15 +253,26 @@ def blocks(docs: DataFrame, words: Mapping[str, Sequence[str]], *, key: str, tex
     """``(key, language, chars, s array<double>, pieces array<float>)``; a document without text gives one row of no characters."""
     profile = Profile(words)
     none = (None, 0, [0.0] * len(STATISTICS), None)
-
-    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = [(k, *b) for k, t, g in zip(frame["k"], frame["t"], frame["l"]) for b in ((block_statistics(t, g, profile) if t else None) or [none])]
-            yield pd.DataFrame(out, columns=["key", "language", "chars", "s", "pieces"])
+    names = ["key", "language", "chars", "s", "pieces"]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(0)
+            own, langs, chars, stats, pieces = [], [], [], [], []
+            for k, (t, g) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                for language, n, s, p in (block_statistics(t, g, profile) if t else None) or [none]:
+                    own.append(k)
+                    langs.append(language)
+                    chars.append(n)
+                    stats.append(s)
+                    pieces.append(p)
+            flat = pa.array(np.array(stats, dtype=float).ravel())
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * len(STATISTICS)), flat)
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(own)), pa.array(langs, pa.string()), pa.array(chars, pa.int64()), lists, pa.array(pieces, pa.list_(pa.float32()))], names)
 
     slim = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), plain_language(F.col(lang)).alias("l")).where("k is not null")
     kind = dict(docs.dtypes)[key]
-    return slim.mapInPandas(rows, f"key {kind}, language string, chars bigint, s array<double>, pieces array<float>").withColumnRenamed("key", key)
+    return slim.mapInArrow(rows, f"key {kind}, language string, chars bigint, s array<double>, pieces array<float>").withColumnRenamed("key", key)
 
 
 def with_running_share(made: DataFrame) -> DataFrame:
