@@ -8,7 +8,7 @@ from __future__ import annotations
 import math
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.functions.paths import depth, in_subtree
@@ -105,52 +105,46 @@ def boundary_mask(path: Column) -> Column:
 
 
 def _pattern(q: str) -> str:
-    """Matches text that has the characters of ``q`` in order, each group being the stretch skipped before one.
+    """Matches text that has the characters of ``q`` in order; what is skipped can't hold the next one, so nothing is tried twice."""
+    return "(?s)^" + "".join(f"[^{re.escape(c)}]*{re.escape(c)}" for c in q)
 
-    A skipped stretch can't hold the character it leads to, which makes the leftmost match the greedy one.
-    """
-    return "(?s)^" + "".join(f"([^{re.escape(c)}]*){re.escape(c)}" for c in q)
 
+def _text(c: str) -> str:
+    return "'" + c.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-def _skips(text: Column, q: str) -> list[Column]:
-    return [F.char_length(F.regexp_extract(text, _pattern(q), k + 1)) for k in range(len(q))]
 
+def _walk(text: str, q: str, score: str) -> Column:
+    """``score`` (SQL over ``w``) of the greedy leftmost walk of the characters of ``q`` through a column; null where it breaks off.
 
-def _consecutive(skips: list[Column]) -> Column:
-    """0.05 x adjacent pairs / length of the query; a single character has none."""
-    pairs = F.lit(0)
-    for s in skips[1:]:
-        pairs = pairs + F.when(s == 0, 1).otherwise(0)
-    return pairs.cast("double") / F.lit(float(len(skips))) * F.lit(0.05)
+    ``w`` has the 1-based ``first`` and ``last`` positions, ``total``, the sum of 0-based ones, and ``pairs``, the number of
+    adjacent ones. Arrays of one name a value, so that it is made once however often it is referred to.
+    """
+    step = (
+        f"(w, c) -> transform(array(locate(c, {text}, w.last + 1)), at -> named_struct('last', at, 'first', if(w.first = 0, at, w.first), 'total', w.total + at - 1, "
+        "'pairs', w.pairs + if(w.last > 0 and at = w.last + 1, 1, 0), 'ok', w.ok and at > 0))[0]"
+    )
+    start = "named_struct('last', 0, 'first', 0, 'total', 0, 'pairs', 0, 'ok', true)"
+    return F.expr(f"transform(array(aggregate(array({', '.join(map(_text, q))}), {start}, {step})), w -> case when w.ok then {score} end)[0]")
 
 
 def is_subsequence(text_lc: Column, q: str) -> Column:
     return text_lc.rlike(_pattern(q))
 
 
-def component_score(initials: Column, q: str) -> Column:
-    """Initials of tokens in order: 0.95 and more, at most 0.99; null without a match."""
-    score = F.lit(0.95) + _consecutive(_skips(initials, q)) + F.lit(0.05) * F.lit(float(len(q))) / F.char_length(initials)
-    return F.when(initials.rlike(_pattern(q)), F.least(score, F.lit(0.99)))
+def component_score(initials: str, q: str) -> Column:
+    """Initials of tokens (a column's name) in order: 0.95 and more, at most 0.99; null without a match."""
+    return _walk(initials, q, f"least(0.95D + w.pairs / {len(q)}D * 0.05D + {0.05 * len(q)!r}D / char_length({initials}), 0.99D)")
 
 
-def camel_score(mask: Column, q: str) -> Column:
+def camel_score(mask: str, q: str) -> Column:
     """Capitals and word starts in order: 0.90 and more, at most 0.96. A query in lower case earns no bonus for capitals."""
-    return F.when(mask.rlike(_pattern(q)), F.least(F.lit(0.90) + _consecutive(_skips(mask, q)), F.lit(0.96)))
+    return _walk(mask, q, f"least(0.90D + w.pairs / {len(q)}D * 0.05D, 0.96D)")
 
 
-def sequential_score(path_lc: Column, q: str) -> Column:
+def sequential_score(path_lc: str, q: str) -> Column:
     """Characters in order with gaps: 0.70, more near the end and less for gaps, within 0.50 and 0.88."""
-    skips, n = _skips(path_lc, q), float(len(q))
-    at, index, total = [], F.lit(0), F.lit(0)
-    for k, s in enumerate(skips):
-        index = s if k == 0 else index + s + 1
-        at.append(index)
-        total = total + index
-    length = F.char_length(path_lc)
-    span = at[-1] - at[0] + 1
-    score = F.lit(0.70) + _consecutive(skips) + total / F.lit(n) / length * F.lit(0.10) - (span - F.lit(int(n))) / length * F.lit(0.10)
-    return F.when(path_lc.rlike(_pattern(q)), F.least(F.greatest(score, F.lit(0.50)), F.lit(0.88)))
+    n, length = len(q), f"char_length({path_lc})"
+    return _walk(path_lc, q, f"least(greatest(0.70D + w.pairs / {n}D * 0.05D + w.total / {n}D / {length} * 0.10D - (w.last - w.first + 1 - {n}) / {length} * 0.10D, 0.50D), 0.88D)")
 
 
 def prefix_score(name: Column, path: Column, q: str) -> Column:
@@ -165,33 +159,33 @@ def prefix_score(name: Column, path: Column, q: str) -> Column:
 STRATEGIES = ("exact_prefix", "component_first", "camel_case", "sequential")
 
 
-def abbreviation(name: Column, path: Column, q: str) -> Column:
+def with_abbreviation_columns(df: DataFrame) -> DataFrame:
+    """Add ``path_lc``, ``initials`` and ``mask``, which abbreviations are looked up in."""
+    return df.withColumns({"path_lc": F.lower("path"), "initials": token_initials(F.col("path")), "mask": boundary_mask(F.col("path"))})
+
+
+def abbreviation(q: str) -> Column:
     """``struct<strategy string, score double>`` of the best strategy, null without a match or for an empty query.
 
-    Positions count characters, so a path with characters beyond ASCII can score a little differently from engines that count bytes.
+    For tables with ``name``, ``path`` and the columns of :func:`with_abbreviation_columns`. Positions count characters, so a path
+    with characters beyond ASCII can score a little differently from engines that count bytes.
     """
     q = q.lower()
     if not q:
         return F.lit(None).cast("struct<strategy: string, score: double>")
-    scores = [prefix_score(name, path, q), component_score(token_initials(path), q), camel_score(boundary_mask(path), q), sequential_score(F.lower(path), q)]
-    best = F.greatest(*[F.coalesce(s, F.lit(-1.0)) for s in scores])
-    strategy = F.lit(None).cast("string")
-    for label, s in reversed(list(zip(STRATEGIES, scores))):
-        strategy = F.when(s == best, label).otherwise(strategy)
-    return F.when(best >= 0, F.struct(strategy.alias("strategy"), best.alias("score")))
+    scores = [prefix_score(F.col("name"), F.col("path"), q), component_score("initials", q), camel_score("mask", q), sequential_score("path_lc", q)]
+    best = F.array_max(F.array(*[F.when(s.isNotNull(), F.struct(s.alias("score"), F.lit(-k).alias("k"))) for k, s in enumerate(scores)]))
+    named = F.transform(F.array(best), lambda b: F.when(b.isNotNull(), F.struct(F.element_at(F.array(*map(F.lit, STRATEGIES)), 1 - b["k"]).alias("strategy"), b["score"].alias("score"))))
+    return named[0]
 
 
-def search_abbreviation_score(initials: Column, mask: Column, path_lc: Column, q: str) -> Column:
+def search_abbreviation_score(q: str) -> Column:
     """The best abbreviation score of a path that doesn't contain the query, null without a match.
 
-    ``initials`` and ``mask`` are the path's :func:`token_initials` and :func:`boundary_mask`, stored with the index.
-
-    There the strategies exclude each other from above: initials reach 0.95, capitals stay below it,
-    sequences end at 0.88, so the first that matches is the best; and one regular expression, which all
-    of them imply, keeps the rest off most rows.
+    There the strategies exclude each other from above: initials reach 0.95, capitals stay below it, sequences end at
+    0.88, so the first that matches is the best. All of them imply :func:`is_subsequence` of ``path_lc``, which implies the last.
     """
-    chain = F.coalesce(component_score(initials, q), camel_score(mask, q), sequential_score(path_lc, q))
-    return F.when(is_subsequence(path_lc, q), chain)
+    return F.coalesce(component_score("initials", q), camel_score("mask", q), sequential_score("path_lc", q))
 
 
 # --- frecency ------------------------------------------------------------------------------------

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.functions.paths import basename, depth, excluded, extension
-from pathloom.functions.ranking import boundary_mask, context_score, token_initials
+from pathloom.functions.ranking import context_score, with_abbreviation_columns
 
 
 def build(files: DataFrame, exclusions: Sequence[str] = ()) -> DataFrame:
@@ -19,8 +19,8 @@ def build(files: DataFrame, exclusions: Sequence[str] = ()) -> DataFrame:
     kept = files.where("name <> '' and path is not null")
     if exclusions:
         kept = kept.where(~excluded(F.col("path"), exclusions))
-    lowered = kept.withColumns({"name_lc": F.lower("name"), "path_lc": F.lower("path"), "depth": depth(F.col("path")), "ext": extension(basename(F.col("path")))})
-    return lowered.withColumns({"context": context_score(F.col("path_lc")), "initials": token_initials(F.col("path")), "mask": boundary_mask(F.col("path"))})
+    lowered = with_abbreviation_columns(kept).withColumns({"name_lc": F.lower("name"), "depth": depth(F.col("path")), "ext": extension(basename(F.col("path")))})
+    return lowered.withColumn("context", context_score(F.col("path_lc")))
 
 
 def trigrams(text: Column) -> Column:

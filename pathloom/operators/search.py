@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from pathloom.functions.paths import in_subtree, scope_of
-from pathloom.functions.ranking import frecency, is_exact_name, is_literal, matches_text, name_score, scope_boost, search_abbreviation_score, usage_boost
+from pathloom.functions.ranking import frecency, is_exact_name, is_literal, is_subsequence, matches_text, name_score, scope_boost, search_abbreviation_score, usage_boost
 from pathloom.operators.index import has_trigrams
 from pathloom.plans import dsl
 from pathloom.session import broadcast_if_small
@@ -81,7 +81,8 @@ def _scored(files: DataFrame, req: Request) -> DataFrame:
     if is_literal(q) or not q:
         hits = files.where(text).withColumn("score", score)
     else:
-        hits = files.withColumn("score", F.when(text, score).otherwise(search_abbreviation_score(F.col("initials"), F.col("mask"), path, q).cast("float"))).where("score is not null")
+        # the filter says where there is a score, so that scores are made once and only there
+        hits = files.where(text | is_subsequence(path, q)).withColumn("score", F.when(text, score).otherwise(search_abbreviation_score(q).cast("float")))
     return hits.withColumn("place", F.col("context") + scope_boost(F.col("path"), F.col("depth"), scope_of(req.boost_scope, req.cwd)))
 
 

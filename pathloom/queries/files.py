@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from pathloom.functions import display
 from pathloom.functions.paths import depth, excluded, in_subtree, in_subtree_range
-from pathloom.functions.ranking import abbreviation, boundary_mask, camel_score, component_score, context_score, is_subsequence, sequential_score, token_initials
+from pathloom.functions.ranking import abbreviation, camel_score, component_score, context_score, is_subsequence, sequential_score
 from pathloom.operators import changes, content, evaluation, grouping, index, usage
 from pathloom.operators.search import Request, recent, search, search_dsl, search_many, touched
 from pathloom.queries import sqltext as q
@@ -128,7 +128,7 @@ def search_sibling_prefix(spark: SparkSession, d: str) -> DataFrame:
 def _abbr(name: str, term: str, column: str, sql: str) -> None:
     def fn(spark: SparkSession, d: str) -> DataFrame:
         fx = _fx(spark, d)
-        score = {"component": lambda: component_score(token_initials(F.col("path")), term), "camel": lambda: camel_score(boundary_mask(F.col("path")), term), "sequential": lambda: sequential_score(F.col("path_lc"), term)}[column]()
+        score = {"component": lambda: component_score("initials", term), "camel": lambda: camel_score("mask", term), "sequential": lambda: sequential_score("path_lc", term)}[column]()
         return fx.select("path", F.round(score, 6).alias("score")).where("score is not null")
 
     fn.__name__ = name
@@ -149,8 +149,7 @@ SELECT path, CASE greatest(a, b, c, e) WHEN a THEN 'exact_prefix' WHEN b THEN 'c
 FROM s WHERE greatest(a, b, c, e) >= 0"""
 )
 def abbr_best(spark: SparkSession, d: str) -> DataFrame:
-    best = abbreviation(F.col("name"), F.col("path"), "mem")
-    return _fx(spark, d).select("path", best.alias("a")).where("a is not null").select("path", "a.strategy", F.round("a.score", 6).alias("score"))
+    return _fx(spark, d).select("path", abbreviation("mem").alias("a")).where("a is not null").select("path", "a.strategy", F.round("a.score", 6).alias("score"))
 
 
 @query(f"WITH {q.FILES} SELECT name, count(*) AS files FROM fx WHERE contains(name_lc, 'lto') OR regexp_matches(name_lc, '(?s)l.*t.*o') GROUP BY 1")

@@ -51,11 +51,11 @@ def test_scores(spark):
 @pytest.mark.parametrize("q,path,strategy,least", [
     ("main", "src/main.rs", "exact_prefix", 0.98), ("src", "src/main.rs", "exact_prefix", 0.98), ("vcs", "vicuna-core/src/main.rs", "component_first", 0.95), ("vcm", "vicuna-core/src/main.rs", "component_first", 0.95),
     ("CT", "Cargo.toml", None, 0.85), ("cargo", "Cargo.toml", "exact_prefix", 0.95), ("abc", "admin/backup/config.toml", None, 0.90), ("xyz", "src/main.rs", None, None), ("test", "日本語/test.txt", "exact_prefix", 0.98), ("", "a", None, None),
-    ("main", "admin/main.rs", "exact_prefix", 0.98), ("mn", "/x/domain", "sequential", 0.5), ("a]^", "x/a]^b", None, 0.5),
+    ("main", "admin/main.rs", "exact_prefix", 0.98), ("mn", "/x/domain", "sequential", 0.5), ("a]^", "x/a]^b", None, 0.5), ("q'\\", "a/q-'-\\", None, 0.5),
 ])
 def test_abbreviations(spark, q, path, strategy, least):
     df = spark.createDataFrame([(path, path.rsplit("/", 1)[-1])], "path string, name string")
-    a = df.select(ranking.abbreviation(F.col("name"), F.col("path"), q).alias("a")).first().a
+    a = ranking.with_abbreviation_columns(df).select(ranking.abbreviation(q).alias("a")).first().a
     if least is None:
         assert a is None
     else:
@@ -64,7 +64,7 @@ def test_abbreviations(spark, q, path, strategy, least):
 
 def test_sequence_positions(spark):
     """main in admin/main.rs: the leftmost greedy positions are 2, 7, 8, 9."""
-    s = spark.createDataFrame([("admin/main.rs",)], "p string").select(ranking.sequential_score(F.col("p"), "main").alias("s")).first().s
+    s = spark.createDataFrame([("admin/main.rs",)], "p string").select(ranking.sequential_score("p", "main").alias("s")).first().s
     assert s == pytest.approx(0.70 + 2 / 4 * 0.05 + (26 / 4) / 13 * 0.10 - (8 - 4) / 13 * 0.10)
 
 
