@@ -14,12 +14,14 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pathloom.operators.skew import hot_keys, replicate, spread
+
 _BIG = "decimal(38,0)"
 
 
 @dataclass(frozen=True)
 class Side:
-    """What one input contributes: a row count, sums, and the first row in an order.
+    """What one input contributes: a row count, sums, and the first row in an order, per key and ``by``.
 
     ``sums`` maps an alias to an integer column or expression (nulls count as nothing). ``best`` maps an
     alias to an orderable struct column; the greatest is kept and nulls are ignored, so ties are decided
@@ -28,30 +30,42 @@ class Side:
 
     df: DataFrame
     key: str
+    by: Sequence[str] = ()
     count: str = "n"
     sums: Mapping[str, Column] = field(default_factory=dict)
     best: Mapping[str, Column] = field(default_factory=dict)
 
     def states(self) -> DataFrame:
-        """One row per non-null key. An empty input gives no rows."""
+        """One row per non-null key and value of ``by``. An empty input gives no rows."""
         aggs = [F.count(F.lit(1)).alias(self.count)]
         aggs += [F.coalesce(F.sum(c.cast(_BIG)), F.lit(0)).cast(_BIG).alias(a) for a, c in self.sums.items()]
         aggs += [F.max(c).alias(a) for a, c in self.best.items()]
-        return self.df.where(F.col(self.key).isNotNull()).groupBy(self.key).agg(*aggs)
+        return self.df.where(F.col(self.key).isNotNull()).groupBy(self.key, *self.by).agg(*aggs)
 
 
 def join_states(left: Side, right: Side, *, bridge: DataFrame | None = None, pairs: str = "pairs") -> DataFrame:
     """Join both sides' states by key and combine them algebraically.
 
     ``bridge`` relates the keys where they differ: it has the columns ``left.key`` and ``right.key``.
-    Result: the keys, both counts, ``pairs`` (the number of joined rows), every sum multiplied by the
-    other side's count, and the ``best`` structs. Keys without a partner do not appear. Products are
-    decimal(38,0). Column names of the two sides must differ; extra input columns are ignored.
+    Result: the keys, the dimensions ``by``, both counts, ``pairs`` (the number of joined rows), every sum multiplied
+    by the other side's count, and the ``best`` structs. Keys without a partner do not appear. Products are
+    decimal(38,0). Column names of the two sides must differ; extra input columns are ignored. Only the right side
+    may have ``by``: a key can then have many states there, and those of hot keys are spread over slices that
+    each meet a copy of the left side's one state.
     """
+    if left.by:
+        raise ValueError("only the right side may have dimensions")
     ls, rs = left.states(), right.states()
     if bridge is not None:
         ls = ls.join(bridge.select(left.key, right.key).where(F.col(right.key).isNotNull()), left.key)
-    joined = ls.join(rs, left.key if bridge is None and left.key == right.key else right.key if bridge is not None else ls[left.key] == rs[right.key])
+    elif left.key != right.key:
+        ls = ls.withColumn(right.key, F.col(left.key))
+    on = right.key
+    if right.by:
+        hot = hot_keys(rs, on)
+        joined = replicate(ls, hot, on).join(spread(rs, hot, on, F.struct(*right.by)), [on, "__salt"]).drop("__salt")
+    else:
+        joined = ls.join(rs, on)
     scaled = {a: (F.col(a) * F.col(right.count)).cast(_BIG) for a in left.sums}
     scaled |= {a: (F.col(a) * F.col(left.count)).cast(_BIG) for a in right.sums}
     return joined.withColumns({pairs: (F.col(left.count).cast("decimal(20,0)") * F.col(right.count)).cast(_BIG), **scaled})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,12 +39,12 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return both.select("name_offset", (-F.col("newest.p")).alias("path_offset"), (-F.col("top.h")).alias("hit_id"))
 
 
-def p1_pair_totals(spark: SparkSession, d: str) -> DataFrame:
-    """Per extension: number and bytes of all (file, hit) pairs of the same basename, without forming a pair."""
-    once = table(spark, d, "search_results").groupBy("hit_id").agg(F.max(F.struct("name", "score", "size")).alias("r"))
+def p1_query_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Per query: number and bytes of all (file, hit) pairs of the same basename, without forming a pair."""
+    once = table(spark, d, "search_results").groupBy("hit_id").agg(F.max(F.struct("query_id", "name", "score", "size")).alias("r"))
     left, right, names = _sides(spark, d, once.select("hit_id", "r.*"))
-    ext = F.lower(F.regexp_extract("name", r"^.+\.([^.]*)$", 1)).alias("ext")
-    return roll_up(join_states(left, right, bridge=names), [ext], ["pairs", "file_bytes", "hit_bytes"])
+    both = join_states(left, replace(right, by=("query_id",)), bridge=names)
+    return roll_up(both, ["query_id"], ["pairs", "file_bytes", "hit_bytes"])
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -52,10 +54,6 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def p3_change_counts(spark: SparkSession, d: str) -> DataFrame:
-    return p3_found(spark, d).groupBy("snapshot_id", "change_kind").agg(F.count(F.lit(1)).alias("paths"))
-
-
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return apply_changes(table(spark, d, "index_updates")).select("path", "journal_epoch", "seq")
 
@@ -65,7 +63,7 @@ def p4_state(spark: SparkSession, d: str) -> DataFrame:
     return apply_changes(table(spark, d, "index_updates"), payload=METADATA)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pair_totals, p3_found, p3_change_counts, p4_found, p4_state)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_query_totals, p3_found, p4_found, p4_state)}
 
 _COUNTING = """counting AS (
   SELECT * FROM file_meta WHERE path_len <> 0 AND path_offset IS NOT NULL
@@ -99,14 +97,13 @@ newest AS (SELECT name_offset, path_offset FROM counting WHERE mtime IS NOT NULL
 top AS (SELECT name, hit_id FROM search_results WHERE score IS NOT NULL AND NOT isnan(score)
   QUALIFY row_number() OVER (PARTITION BY name ORDER BY score DESC, hit_id) = 1)
 SELECT name_offset, path_offset, hit_id FROM arena_names JOIN newest USING (name_offset) JOIN top USING (name)""",
-    "p1_pair_totals": f"""WITH {_COUNTING},
+    "p1_query_totals": f"""WITH {_COUNTING},
 files AS (SELECT name_offset, size FROM counting WHERE snapshot_id = (SELECT max(snapshot_id) FROM file_meta)),
-hits AS (SELECT DISTINCT hit_id, name, score, size FROM search_results)
-SELECT lower(regexp_extract(a.name, '^.+\\.([^.]*)$', 1)) AS ext, CAST(count(*) AS DECIMAL(38,0)) AS pairs,
+hits AS (SELECT DISTINCT hit_id, query_id, name, score, size FROM search_results)
+SELECT h.query_id, CAST(count(*) AS DECIMAL(38,0)) AS pairs,
   CAST(coalesce(sum(f.size), 0) AS DECIMAL(38,0)) AS file_bytes, CAST(coalesce(sum(h.size), 0) AS DECIMAL(38,0)) AS hit_bytes
 FROM files f JOIN arena_names a USING (name_offset) JOIN hits h ON h.name = a.name GROUP BY 1""",
     "p3_found": _CHANGES + "SELECT * FROM changes WHERE change_kind IS NOT NULL",
-    "p3_change_counts": _CHANGES + "SELECT snapshot_id, change_kind, count(*) AS paths FROM changes WHERE change_kind IS NOT NULL GROUP BY 1, 2",
     "p4_found": _STATE + "SELECT path, journal_epoch, seq FROM last WHERE writes",
     "p4_state": _STATE + "SELECT path, journal_epoch, seq, name, size, mtime, dev, ino FROM last WHERE writes",
 }

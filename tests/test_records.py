@@ -65,6 +65,9 @@ def test_eager_join_equals_join(spark):
     total = roll_up(out, [F.length("k").alias("n")], ["pairs", "sx"]).collect()
     assert sum(r.pairs for r in total) == sum(v[0] for v in want.values())
     assert join_states(Side(ldf.where("false"), "k"), Side(rdf, "k2", count="m")).count() == 0
+    by = join_states(Side(ldf, "k", count="ln"), Side(rdf, "k2", by=("y",), count="rn"))
+    rolled = {r.y: r.pairs for r in roll_up(by, ["y"], ["pairs"]).collect()}
+    assert rolled == {y: Decimal(sum(k == k2 for k, *_ in left for k2, y2, _ in right if k is not None and y2 == y)) for y in (None, 7, 8)}
 
 
 def test_spread_and_replicate_meet(spark):
