@@ -67,10 +67,9 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d).select("doc_id", "item_id")
 
 
-def p7_leaked_items(spark: SparkSession, d: str) -> DataFrame:
-    """Per test item that leaked: in how many documents, and the largest share of it found in one."""
-    per = _leaks(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("docs"), F.max("shared").alias("most"), F.max("stretches").alias("stretches"))
-    return per.select("item_id", "docs", F.round(F.col("most") / F.col("stretches"), 6).alias("largest_share"))
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """What share of each leaked item's 12-word stretches is in the document."""
+    return _leaks(spark, d).select("doc_id", "item_id", "shared", F.round(F.col("shared") / F.col("stretches"), 6).alias("share"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -81,7 +80,7 @@ def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
     return text_quality(table(spark, d, "documents"), table(spark, d, "common_words"), key="doc_id", text="text", lang="lang")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_top_of_name, p5_found, p5_forms, p6_pack, p7_found, p7_leaked_items, p8_found, p8_statistics)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_top_of_name, p5_found, p5_forms, p6_pack, p7_found, p7_shares, p8_found, p8_statistics)}
 
 _ONCE = """WITH once AS (
   SELECT DISTINCT hit_id, query_id, path, name, score, mtime FROM search_results WHERE score IS NOT NULL AND NOT isnan(score))
@@ -102,5 +101,5 @@ QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, mtime DESC
     + """SELECT name, hit_id FROM once WHERE name IS NOT NULL
 QUALIFY row_number() OVER (PARTITION BY name ORDER BY score DESC, mtime DESC NULLS LAST, path, hit_id) <= 3""",
     "p7_found": _GRAMS + "SELECT doc_id, item_id FROM hits",
-    "p7_leaked_items": _GRAMS + "SELECT item_id, count(*) AS docs, round(max(shared) / any_value(stretches), 6) AS largest_share FROM hits JOIN n USING (item_id) GROUP BY 1",
+    "p7_shares": _GRAMS + "SELECT doc_id, item_id, shared, round(shared / stretches, 6) AS share FROM hits JOIN n USING (item_id)",
 }
