@@ -70,10 +70,10 @@ def top_n_per_group(
     tie_columns = [f"t{k}" for k in range(len(ties))]
     order = [F.col("s").desc(), *[F.col(c).desc_nulls_last() if way == "desc" else F.col(c).asc_nulls_last() for c, way in zip(tie_columns, ties.values())], F.col("i").asc()]
 
-    # one shuffle by (group, slice) serves deduplication, counting, lookup and ranking
+    # deliveries are combined before they move, so an item that comes again and again is one row per task
     hot = hot_keys(valid, "g")
     sliced = spread(valid, hot, "g", F.col("i"), salts, "salt").join(F.broadcast(hot.withColumn("is_hot", F.lit(True))), "g", "left")
-    once = sliced.repartition("g", "salt").groupBy("g", "salt", "i", "is_hot").agg(F.max(F.struct("s", *tie_columns)).alias("r"))
+    once = sliced.groupBy("g", "salt", "i", "is_hot").agg(F.max(F.struct("s", *tie_columns)).alias("r"))
     cuts = valid.agg(F.percentile_approx("s", [k / bands for k in range(1, bands)], 2_000).alias("c"))
     cut = once.select("g", "salt", "is_hot", "i", "r.*").withColumn("cuts", cuts.scalar())
     banded = cut.withColumn("band", F.coalesce(F.size(F.filter("cuts", lambda c: c > F.col("s"))), F.lit(0))).drop("cuts")
