@@ -4,20 +4,20 @@ An item goes where it makes the sum of N(g)^2 smallest, N(g) being the number of
 exactly g units free; a new container is one of the places, and a container without free units is closed
 and counts no more. Ties go to the fullest container. Items are placed largest first.
 
-The rule is sequential, so items are dealt at random (by a hash of their key) into lots of about
+The rule is sequential, so items are dealt at random (by a hash of their key and place) into lots of about
 ``lot`` items that are filled independently, each in a task of its own; only keys and sizes travel. What
 a lot leaves open is a handful of containers among hundreds, measured in the README.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pathloom.session import durable
+
 #: Items per independently filled lot.
 LOT = 16_384
 #: More capacities than this in one call are refused rather than multiplied out.
@@ -73,9 +73,10 @@ def pack(
         raise ValueError(f"more than {MAX_CAPACITIES} capacities")
     slim = items.select(F.col(key).alias("k"), F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("bigint").alias("n")).where("k is not null")
     key_kind, pack_kind = dict(items.dtypes)[key], dict(capacities.dtypes)[pack_key]
-    # the number of lots follows the number of rows, which parquet knows without a scan
-    lots = max(1, -(-items.count() // lot))
-    dealt = slim.withColumn("lot", F.pmod(F.xxhash64("k"), F.lit(lots)).cast("int"))
+    # sizes are measured once and kept; rows that are read back keep their numbers, so that even rows of one key part ways
+    kept = durable(slim)
+    lots = max(1, -(-kept.count() // lot))
+    dealt = kept.withColumn("lot", F.pmod(F.xxhash64("k", F.monotonically_increasing_id()), F.lit(lots)).cast("int"))
     schema = f"{pack_key} {pack_kind}, container bigint, {key} {key_kind}, piece int, first bigint, size bigint"
     if not caps:
         return dealt.where("false").select(F.lit(None).cast(pack_kind).alias(pack_key), F.lit(None).cast("bigint").alias("container"), F.col("k").alias(key), F.lit(0).alias("piece"), F.lit(0).cast("bigint").alias("first"), F.col("n").alias("size"))
@@ -102,5 +103,4 @@ def pack(
             {pack_key: pack_id, "container": number, key: keys[who], "piece": piece.astype(np.int32), "first": piece * cap, "size": np.concatenate([np.full(len(whole), cap), rest[part], np.zeros(len(none), np.int64)]).astype(np.int64)}
         )
 
-
-    return each.select("lot", "k", "n", "c.p", "c.cap").groupBy("lot", "p").applyInPandas(lambda f: fill(f), schema)
+    return each.select("lot", "k", "n", "c.p", "c.cap").groupBy("lot", "p").applyInPandas(fill, schema)
