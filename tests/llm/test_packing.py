@@ -107,3 +107,9 @@ def test_query_fills_well(spark, data):
     assert len(rows) == len(caps)
     for r in rows:
         assert r.bins <= -(-r.used // caps[r.pack_id]) * 1.05 + 1
+
+
+def test_rows_of_one_key_part_ways(spark):
+    rows = packed(spark, [(7, 3)] * 400, [(1, 64)], lot=50).collect()
+    assert len(rows) == 400 and sum(r.size for r in rows) == 1200
+    assert len({r.container % 8 for r in rows}) > 4  # 8 lots interleave their containers
