@@ -11,7 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.functions.paths import depth, in_subtree
+from pathloom.functions.paths import in_subtree
 
 # What a directory of caches, build output or tool state takes from a path's context score; one of a line is enough.
 CONTEXT_PENALTIES = (
