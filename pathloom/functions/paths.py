@@ -33,8 +33,17 @@ def lexical_column(path: Column, cwd: str = "/") -> Column:
     return F.when(odd, F.concat(F.lit("/"), F.array_join(parts, "/"))).otherwise(path)
 
 
-def in_subtree(path: Column, scope: str) -> Column:
+def scope_column(scope: Column, cwd: str = "/") -> Column:
+    """:func:`scope_of` of a column; null means none."""
+    given = F.regexp_replace(scope, r"(?U)^\s+|\s+\z", "")
+    # doubled slashes at the end have every scope rebuilt, those with one slash there as well
+    return F.when(given != "", lexical_column(F.concat(given, F.lit("//")), cwd))
+
+
+def in_subtree(path: Column, scope: str | Column) -> Column:
     """``path`` is ``scope`` or below it, by components: ``/repo`` holds ``/repo/x`` and not ``/repo-a``."""
+    if isinstance(scope, Column):
+        return (path == scope) | path.startswith(F.when(scope == "/", scope).otherwise(F.concat(scope, F.lit("/"))))
     return path.startswith("/") if scope == "/" else (path == scope) | path.startswith(scope + "/")
 
 

@@ -81,11 +81,12 @@ def is_noise(path_lc: Column) -> Column:
     return out
 
 
-def scope_boost(path: Column, path_depth: Column, scope: str | None) -> Column:
+def scope_boost(path: Column, path_depth: Column, scope: str | Column | None) -> Column:
     """120 less one for each level below the scope, at most 20; 0 outside."""
     if scope is None:
         return F.lit(0)
-    below = F.greatest(path_depth - (scope.rstrip("/").count("/") + 1), F.lit(0))
+    levels = F.when(scope == "/", 0).otherwise(F.length(scope) - F.length(F.replace(scope, F.lit("/")))) if isinstance(scope, Column) else scope.rstrip("/").count("/")
+    below = F.greatest(path_depth - (levels + 1), F.lit(0))
     return F.when(in_subtree(path, scope), F.lit(SCOPE_BOOST) - F.least(below, F.lit(SCOPE_DEPTHS))).otherwise(0).cast("int")
 
 

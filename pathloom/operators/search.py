@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from pathloom.functions.paths import in_subtree, scope_of
-from pathloom.functions.ranking import frecency, is_exact_name, is_literal, is_subsequence, matches_text, name_score, scope_boost, search_abbreviation_score, usage_boost
+from pathloom.functions.paths import in_subtree, scope_column, scope_of
+from pathloom.functions.ranking import LITERAL, frecency, is_exact_name, is_literal, is_subsequence, matches_text, name_score, scope_boost, search_abbreviation_score, usage_boost
+from pathloom.operators.abbreviations import abbreviated
 from pathloom.operators.index import has_trigrams
 from pathloom.plans import dsl
 from pathloom.session import broadcast_if_small
@@ -177,15 +178,23 @@ def _byte_grams(*texts: Column) -> Column:
     return F.array_distinct(F.concat(*[of(t) for t in texts]))
 
 
-def search_many(files: DataFrame, queries: DataFrame, *, query_id: str, term: str, limit: str) -> DataFrame:
-    """Many substring searches in one job: ``(query_id, rank, path, score)``.
+def search_many(
+    files: DataFrame, queries: DataFrame, *, query_id: str, term: str, limit: str, filter_scope: str | None = None, boost_scope: str | None = None, cwd: str = "/", abbreviations: bool = True
+) -> DataFrame:
+    """Many searches in one job: ``(query_id, rank, path, score)``, what :func:`search` finds in its default mode for each.
 
-    Equal terms are answered once. A term of three bytes or more meets only the files that have its rarest
-    trigram, by an equi-join, and those are verified; shorter terms, of which there are few, are looked for in
-    every file. Every task keeps a term's best rows before they are shuffled. Null and empty terms, and
-    limits below one, find nothing.
+    ``filter_scope`` and ``boost_scope`` name the columns of the scopes, if there are any; null and blank scopes are none.
+    Without ``abbreviations`` terms are looked for as substrings only.
+
+    Equal terms are matched and scored once, equal (term, filter scope, boost scope) ranked once. A term of three
+    bytes or more meets only the files that have its rarest trigram, by an equi-join, and those are verified; shorter terms,
+    of which there are few, are looked for in every file. The distinct terms that aren't literal go to the driver and
+    from there to every task, which walks each of its paths once for all of them. Every task keeps the best rows of a
+    request before they are shuffled. Null and empty terms, and limits below one, find nothing.
     """
-    asked = queries.where(F.col(limit) > 0).where(F.col(term) != "").groupBy(F.col(query_id).alias("q"), F.lower(term).alias("t")).agg(F.max(limit).alias("n"))
+    scope = lambda c: F.coalesce(scope_column(F.col(c), cwd), F.lit("")) if c else F.lit("")
+    wanted = queries.where(F.col(limit) > 0).where(F.col(term) != "").select(F.col(query_id).alias("q"), F.lower(term).alias("t"), scope(filter_scope).alias("within"), scope(boost_scope).alias("near"), F.col(limit).alias("n"))
+    asked = wanted.groupBy("q", "t", "within", "near").agg(F.max("n").alias("n"))
     most = asked.agg(F.max("n")).first()[0] or 0
     terms = asked.select("t").distinct()
     slim = files.select("file_id", "path", "name_lc", "path_lc", "mtime", "depth", "context")
@@ -197,6 +206,18 @@ def search_many(files: DataFrame, queries: DataFrame, *, query_id: str, term: st
     near = rarest.join(grams, "g").select("t", "file_id").join(slim, "file_id")
     text = matches_text(F.col("name_lc"), F.col("path_lc"), F.col("t"))
     found = near.where(text).unionByName(slim.join(broadcast_if_small(terms.where(~long), 100_000), text), allowMissingColumns=True)
-    scored = found.withColumns({"score": name_score(F.col("name_lc"), F.col("t")), "place": F.col("context")})
-    best = scored.withColumn("rank", F.row_number().over(W.partitionBy("t").orderBy(*_order(ORDER)))).where(F.col("rank") <= most)
-    return asked.join(best.select("t", "rank", "path", "score"), "t").where(F.col("rank") <= F.col("n")).select(F.col("q").alias(query_id), "rank", "path", "score")
+    kept = ("t", "path", "mtime", "depth", "context", "score")
+    scored = found.withColumn("score", name_score(F.col("name_lc"), F.col("t"))).select(*kept)
+    loose = [r.t for r in terms.where(F.translate("t", LITERAL, "") == F.col("t")).collect()] if abbreviations else []
+    if loose:
+        # few bytes, much work: partitions that suit the bytes would leave it to one task
+        walked = files.select("name_lc", "path_lc", "initials", "mask", *kept[1:5]).repartition(4 * files.sparkSession.sparkContext.defaultParallelism, "path")
+        kinds = dict(walked.dtypes)
+        scored = scored.unionByName(walked.mapInArrow(abbreviated(loose), ", ".join(["t string", *(f"{c} {kinds[c]}" for c in kept[1:5]), "score float"])))
+    requests = asked.select("t", "within", "near").distinct()
+    inside = (F.col("within") == "") | in_subtree(F.col("path"), F.col("within"))
+    boost = F.when(F.col("near") == "", 0).otherwise(scope_boost(F.col("path"), F.col("depth"), F.col("near")))
+    placed = scored.join(broadcast_if_small(requests), "t").where(inside).withColumn("place", F.col("context") + boost)
+    best = placed.withColumn("rank", F.row_number().over(W.partitionBy("t", "within", "near").orderBy(*_order(ORDER)))).where(F.col("rank") <= most)
+    answers = asked.join(best.select("t", "within", "near", "rank", "path", "score"), ["t", "within", "near"]).where(F.col("rank") <= F.col("n"))
+    return answers.select(F.col("q").alias(query_id), "rank", "path", "score")

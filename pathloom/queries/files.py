@@ -97,7 +97,14 @@ best AS (SELECT *, CAST(row_number() OVER (PARTITION BY t ORDER BY score DESC, c
 SELECT query_id, rank, path, round(CAST(score AS DOUBLE), 6) AS score FROM asked JOIN best USING (t) WHERE rank <= n"""
 )
 def search_many_terms(spark: SparkSession, d: str) -> DataFrame:
-    return _six(search_many(_fx(spark, d), table(spark, d, "search_queries"), query_id="query_id", term="term", limit="result_limit"))
+    """The substring matches alone and without scopes, as the SQL has them; :func:`search_many_requests` answers the whole table."""
+    return _six(search_many(_fx(spark, d), table(spark, d, "search_queries"), query_id="query_id", term="term", limit="result_limit", abbreviations=False))
+
+
+@query(None)
+def search_many_requests(spark: SparkSession, d: str) -> DataFrame:
+    """Every request with its scopes, and abbreviations; tested against single searches."""
+    return _six(search_many(_fx(spark, d), table(spark, d, "search_queries"), query_id="query_id", term="term", limit="result_limit", filter_scope="filter_scope", boost_scope="boost_scope"))
 
 
 @query(

@@ -118,6 +118,23 @@ def test_search_many_is_many_searches(spark):
     assert {r.query_id for r in many} == {1, 2, 5}
 
 
+def test_search_many_answers_whole_requests(spark):
+    """Scopes, boosts and abbreviations: each answer is that of one unfiltered search."""
+    paths_ = [f"/repo{'-a' * (k % 2)}/{d}/{n}" for k in range(6) for d, n in (("src", f"main_{k}.rs"), (f"Module{k}/Inner", "Query Plan.md"), ("t/ü", f"mn{k}"), ("lib/target", "maintain"))]
+    fx = files_of(spark, *[(p, "alias mn" if k % 7 == 0 else None, k % 5) for k, p in enumerate(dict.fromkeys(paths_))]).cache()
+    scopes = [None, " ", "/repo", "/repo-a/", "repo/src", "/repo/x/../lib//", "/", "/nowhere"]
+    terms = ["mn", "MAIN", "rsm", "qp", "main_", "ü", "alias", "m 3", "zq", "q'"]
+    asked = [(1 + k, t, 1 + 7 * k % 23, scopes[k % 8], scopes[k * 3 // 8 % 8]) for k, t in enumerate(terms * 4)]
+    table_ = spark.createDataFrame([*asked, asked[0]], "query_id bigint, term string, n int, f string, b string")
+    many = search_many(fx, table_, query_id="query_id", term="term", limit="n", filter_scope="f", boost_scope="b").collect()
+    got: dict = {}
+    for r in sorted(many, key=lambda r: (r.query_id, r.rank)):
+        got.setdefault(r.query_id, []).append((r.rank, r.path, r.score))
+    for q, t, n, f, b in asked:
+        single = search(fx, Request(t, n, filter_scope=f, boost_scope=b)).orderBy("rank").collect()
+        assert got.get(q, []) == [(r.rank, r.path, r.score) for r in single], (t, n, f, b)
+
+
 def test_dsl():
     p = dsl.parse("foo ext:rs,.MD type:file path:Src/ bar", 1000)
     assert (p.term, p.exts, p.is_dir, p.paths) == ("foo bar", ("md", "rs"), False, ("src/",))
