@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.functions.ranking import is_noise
+from pathloom.session import broadcast_if_small
 
 
 def first_relevant(results: DataFrame, labels: DataFrame, queries: DataFrame) -> DataFrame:
@@ -20,6 +21,19 @@ def first_relevant(results: DataFrame, labels: DataFrame, queries: DataFrame) ->
     return queries.select("query").distinct().join(first, "query", "left").join(noisy, "query", "left").select("query", "first", F.coalesce("noise", F.lit(0)).alias("noise"))
 
 
+def noise_before_relevant(hits: DataFrame, queries: DataFrame) -> DataFrame:
+    """``(query, first, noise)`` as :func:`first_relevant` over all hits however deep, without ranking them.
+
+    ``hits``: (query, path, at, relevant), ``at`` being what orders a query's hits, ascending, without ties; a path is
+    relevant where one of its hits is. All is counts and least values, combined before they move.
+    """
+    paths = hits.groupBy("query", "path").agg(F.min("at").alias("at"), F.max("relevant").alias("relevant"))
+    least = paths.where(F.col("relevant") & F.col("path").isNotNull()).groupBy("query").agg(F.min("at").alias("until"))
+    before = hits.join(broadcast_if_small(least), "query").where(F.col("at") <= F.col("until"))
+    counts = before.groupBy("query").agg(F.count(F.lit(1)).alias("first"), F.count_if((F.col("at") < F.col("until")) & is_noise(F.lower("path"))).alias("noise"))
+    return queries.select("query").distinct().join(counts, "query", "left").select("query", "first", F.coalesce("noise", F.lit(0)).alias("noise"))
+
+
 def mrr(first: Column, k: int) -> Column:
     return F.avg(F.when(first <= k, F.lit(1.0) / first).otherwise(0.0))
 

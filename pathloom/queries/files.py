@@ -492,6 +492,9 @@ def recency_ring(spark: SparkSession, d: str) -> DataFrame:
 
 
 # --- evaluation ---------------------------------------------------------------------------------
+EVAL_DEPTH = 100  # fixed: hits of a query that are evaluated, as the reference asks for
+
+
 _RANKED = """once AS (SELECT DISTINCT hit_id, query_id, path, name, score, mtime FROM search_results WHERE score IS NOT NULL AND NOT isnan(score)),
 ranked AS (SELECT query_id AS query, path, name, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, mtime DESC NULLS LAST, path, hit_id) AS rank FROM once QUALIFY rank <= 100),
 asked AS (SELECT DISTINCT query_id AS query, lower(term) AS t FROM search_queries),
@@ -500,12 +503,19 @@ firsts AS (SELECT query, min(rank) AS first FROM ranked JOIN labels USING (query
 judged AS (SELECT query, first FROM (SELECT DISTINCT query FROM asked) LEFT JOIN firsts USING (query))"""
 
 
-def _eval(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _hits(spark: SparkSession, d: str) -> DataFrame:
     hits = table(spark, d, "search_results").where("score is not null and not isnan(score)")
-    once = hits.groupBy("hit_id").agg(F.max(F.struct("query_id", "score", "mtime", "path", "name")).alias("r")).select("hit_id", "r.*")
+    return hits.groupBy("hit_id").agg(F.max(F.struct("query_id", "score", "mtime", "path", "name")).alias("r")).select("hit_id", "r.*")
+
+
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "search_queries").select(F.col("query_id").alias("query"), F.lower("term").alias("t")).distinct()
+
+
+def _eval(spark: SparkSession, d: str, depth: int = EVAL_DEPTH) -> tuple[DataFrame, DataFrame, DataFrame]:
     order = W.partitionBy("query_id").orderBy(F.desc("score"), F.col("mtime").desc_nulls_last(), "path", "hit_id")
-    ranked = once.withColumn("rank", F.row_number().over(order)).where("rank <= 100").select(F.col("query_id").alias("query"), "path", "name", "rank")
-    asked = table(spark, d, "search_queries").select(F.col("query_id").alias("query"), F.lower("term").alias("t")).distinct()
+    ranked = _hits(spark, d).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= depth).select(F.col("query_id").alias("query"), "path", "name", "rank")
+    asked = _asked(spark, d)
     labels = ranked.join(asked, "query").where(F.contains(F.lower("name"), F.col("t"))).select("query", "path")
     return ranked, labels, asked
 
@@ -522,9 +532,20 @@ def eval_mrr_hit(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_RANKED} SELECT query, count(*) FILTER (rank < first AND {q.noise('lower(path)')}) AS noise FROM judged LEFT JOIN ranked USING (query) GROUP BY 1")
 def eval_noise(spark: SparkSession, d: str) -> DataFrame:
+    """Among the first EVAL_DEPTH hits, as the SQL has it; :func:`eval_noise_all` looks at all."""
     return evaluation.first_relevant(*_eval(spark, d)).select("query", "noise")
 
 
+@query(f"WITH {_RANKED.replace(' QUALIFY rank <= 100', '')} SELECT query, count(*) FILTER (rank < first AND {q.noise('lower(path)')}) AS noise FROM judged LEFT JOIN ranked USING (query) GROUP BY 1")
+def eval_noise_all(spark: SparkSession, d: str) -> DataFrame:
+    asked = _asked(spark, d)
+    at = F.struct((-F.col("score")).alias("score"), F.col("mtime").isNull().alias("undated"), (-F.col("mtime")).alias("age"), F.col("path").alias("by_path"), "hit_id")
+    hits = _hits(spark, d).select(F.col("query_id").alias("query"), "path", "name", at.alias("at"))
+    said = asked.groupBy("query").agg(F.collect_set("t").alias("terms"))
+    judged = hits.join(said, "query").withColumn("relevant", F.coalesce(F.exists("terms", lambda t: F.contains(F.lower("name"), t)), F.lit(False)))
+    return evaluation.noise_before_relevant(judged, asked).select("query", "noise")
+
+
 @query(f"WITH {_RANKED} SELECT query, count(DISTINCT string_split(path, '/')[2]) AS buckets FROM ranked WHERE rank <= 10 GROUP BY 1")
 def eval_diversity(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.diversity(_eval(spark, d)[0])
