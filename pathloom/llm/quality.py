@@ -32,8 +32,9 @@ FLOORS = (0.3, 0.04, 0.02, 0.02, 0.35, 0.1, 0.3, 0.05, 0.1, 0.1)
 #: Squared distance beyond which a block is not prose; terse and technical prose stays below 45, word salad begins near 55.
 CUTOFF = 50.0
 FIT_CHARS = 80
-#: Words per line count up to this: how far a paragraph runs on says nothing about prose.
+#: In distances words per line count up to this: how far a paragraph runs on says nothing about prose. Reported values have no bound.
 LONG_LINE = 64
+_LINE_AT, _LINE_TOP = STATISTICS.index("log_words_per_line"), float(np.log1p(LONG_LINE))
 CORE = 0.6
 STEPS = 4
 #: Classes of squared distance per doubling when the core is found.
@@ -205,7 +206,7 @@ def block_statistics(text: str, declared: str | None, profile: Profile) -> list[
         seps = sum(map(count, ",;|\t:=")) + (len(_WIDE.findall(whole)) if "  " in whole else 0)
         stats = [
             letters / max(k, 1), common / max(k, 1), max(0, solid - letters - digits - plain) / max(solid, 1), digits / max(solid, 1),
-            sum(f[8] for f in block) / m, sum(f[5] for f in block) / m, float(np.log1p(min(tokens / m, LONG_LINE))), seps / max(tokens, 1), proper_n / max(n, 1), again / max(k, 1),
+            sum(f[8] for f in block) / m, sum(f[5] for f in block) / m, float(np.log1p(tokens / m)), seps / max(tokens, 1), proper_n / max(n, 1), again / max(k, 1),
         ]
         out.append((profile.languages[lang] if lang >= 0 else None, n, stats, pieces if any(pieces) else None))
 
@@ -297,6 +298,7 @@ def _squares(fits: Mapping[str, tuple[np.ndarray, np.ndarray]], parts: bool):
 
     def contributions(langs: pd.Series, stats: pd.Series) -> np.ndarray:
         x = np.array(stats.tolist(), dtype=float).reshape(len(stats), len(STATISTICS))
+        x[:, _LINE_AT] = np.minimum(x[:, _LINE_AT], _LINE_TOP)
         out = np.full(x.shape, np.nan)
         names = langs.where(langs.isin(list(fits)), ANY).fillna(ANY)
         for lang in names.unique():
@@ -327,7 +329,7 @@ def fit_prose(blocks_: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     Only sums come to the driver: moments per language and class of distance.
     """
     d = len(STATISTICS)
-    x = [F.col("s")[k] for k in range(d)]
+    x = [F.least(F.col("s")[k], F.lit(_LINE_TOP)) if k == _LINE_AT else F.col("s")[k] for k in range(d)]
     rows = blocks_.where(F.col("chars") >= FIT_CHARS).withColumn("g", F.explode(F.array_distinct(F.array(F.coalesce("language", F.lit(ANY)), F.lit(ANY)))))
     floor = np.array(FLOORS)
     begin = rows.groupBy("g").agg(F.array(*[F.percentile_approx(c, [0.25, 0.5, 0.75], 500) for c in x]).alias("q"), F.count(F.lit(1)).alias("n"))

@@ -27,6 +27,17 @@ def test_statistics():
     assert s["running_share"] > 0.9
 
 
+def test_long_lines_are_reported_without_a_bound_and_measured_with_one(spark):
+    ((_, _, s, _),) = stats("word " * 5000)
+    assert s["log_words_per_line"] == pytest.approx(np.log1p(5000))
+    at = STATISTICS.index("log_words_per_line")
+    mean, precision = np.zeros(len(STATISTICS)), np.eye(len(STATISTICS))
+    rows = [[v if k == at else 0.0 for k in range(len(STATISTICS))] for v in (float(np.log1p(quality.LONG_LINE)), float(np.log1p(5000)))]
+    df = spark.createDataFrame([("en", r) for r in rows], "g string, s array<double>")
+    near, far = (r.d for r in df.select(quality._squares({"en": (mean, precision)}, False)("g", "s").alias("d")).collect())
+    assert near == far == pytest.approx(np.log1p(quality.LONG_LINE) ** 2)
+
+
 def test_lines_are_unwrapped():
     import textwrap
 
