@@ -90,6 +90,23 @@ def last_state(files: DataFrame, updates: DataFrame, key: Sequence[str] = ("seq"
     return out.select("path", *[F.col(f"m.{c}").alias(c) for c in _META])
 
 
+def last_touches(updates: DataFrame) -> DataFrame:
+    """Updates that do to every path what its last touch does, one row a path: a Delete, or a write that is present.
+
+    Together with later or earlier updates they leave :func:`last_state` as all updates would.
+    """
+    rest = [F.col(c) for c in _META]
+    row = lambda path, sub, kind: F.struct(F.col(path).alias("path"), F.col("seq"), F.lit(sub).alias("sub"), F.lit(kind).alias("kind"), *rest)
+    touches = (
+        F.when(F.col("kind") == "Delete", F.array(row("path", 0, "Delete")))
+        .when(F.col("kind") == "Move", F.when(F.col("present"), F.array(row("from_path", 0, "Delete"), row("path", 1, "CreateOrModify"))).otherwise(F.array(row("from_path", 0, "Delete"))))
+        .when(F.col("present"), F.array(row("path", 1, "CreateOrModify")))
+    )
+    every = updates.select(F.explode(touches).alias("t")).where("t.path is not null")
+    last = every.groupBy("t.path").agg(F.max(F.struct("t.seq", "t.sub", "t.kind", *[f"t.{c}" for c in _META])).alias("l"))
+    return last.select("path", "l.*").withColumns({"from_path": F.lit(None).cast("string"), "present": F.col("sub") == 1}).drop("sub")
+
+
 def latest_by(df: DataFrame, key: Sequence[str], seq: str) -> DataFrame:
     """The row with the highest ``seq`` per key, such as a file's latest path per (dev, ino); identity (0, 0) is unknown and left out."""
     rows = df.where("not (dev <=> 0 and ino <=> 0)") if list(key) == ["dev", "ino"] else df

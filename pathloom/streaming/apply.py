@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
-from pathloom.operators.changes import last_state
+from pathloom.operators.changes import last_state, last_touches
 from pathloom.schema import UPDATES
 from pathloom.sources.store import SnapshotStore
 
@@ -20,17 +21,28 @@ def journal_stream(spark: SparkSession, directory: str, schema: str = UPDATES, f
 
 
 def apply_to_store(updates: DataFrame, store: SnapshotStore, checkpoint: str, each: Callable[[int], None] | None = None) -> DataStreamWriter:
-    """Write a new version of the store for every micro-batch; a batch that was already applied is passed over.
+    """Write a new version of the store for every micro-batch; updates may come late, and again.
 
-    The sequence number kept beside the version pointer makes a repeated batch harmless. Start with
-    ``.trigger(availableNow=True).start()`` or a processing time.
+    Beside each version lies the last touch of every path since the stream took the store over, so that an update is
+    compared with its path's and not with the newest of all. What the store included when it was taken over is passed over.
+    Start with ``.trigger(availableNow=True).start()`` or a processing time.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        fresh = batch.where(F.col("seq") > store.journal_seq())
+        spark, version, seq = batch.sparkSession, store.current() or 0, store.journal_seq()
+        kept = store.root / "touched" / str(version)
+        floor, upto = json.loads((kept / "_floor").read_text()) if (kept / "_floor").exists() else (seq, None)
+        known = upto == seq  # else they belong to a version that never became current
+        floor = floor if known else seq
+        fresh = batch.where(F.col("seq") > floor)
         top = fresh.agg(F.max("seq")).first()[0]
         if top is not None:
-            store.save(last_state(store.load(batch.sparkSession), fresh), top)
+            touched = last_touches(fresh.unionByName(spark.read.parquet(str(kept)), allowMissingColumns=True) if known else fresh)
+            target = kept.with_name(str(version + 1))
+            touched.write.mode("overwrite").parquet(str(target))
+            (target / "_floor").write_text(json.dumps([floor, max(seq, top)]))
+            # the pointer moves last; until then the touches of the version before count
+            store.save(last_state(store.load(spark), spark.read.parquet(str(target))), max(seq, top))
         if each:
             each(batch_id)
 

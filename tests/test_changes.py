@@ -120,6 +120,22 @@ def test_stream_applies_batches_once(spark, tmp_path):
     assert store.journal_seq() == 59
 
 
+def test_stream_applies_late_batches(spark, tmp_path):
+    store = SnapshotStore(str(tmp_path / "s"))
+    store.save(spark.createDataFrame([f(0, "/v/a")], FILES))
+    batches = tmp_path / "in"
+    batches.mkdir()
+    names = ("seq", "kind", "path", "from_path", "name", "size", "mtime", "dev", "ino", "is_dir", "present")
+    on = lambda seq, kind, path, source=None: (seq, kind, path, source, path.rsplit("/", 1)[-1], 1, seq, 1, seq, False, kind != "Delete")
+    late = [on(8, "CreateOrModify", "/v/b"), on(9, "Delete", "/v/gone")], [on(3, "CreateOrModify", "/v/late"), on(4, "Delete", "/v/b"), on(5, "CreateOrModify", "/v/gone"), on(6, "Move", "/v/to", "/v/a")]
+    for k, part in enumerate((*late, late[0])):
+        (batches / f"{k:04d}.json").write_text("".join(json.dumps(dict(zip(names, r))) + "\n" for r in part))
+        q = apply_to_store(journal_stream(spark, str(batches), files_per_trigger=1), store, str(tmp_path / "cp")).trigger(availableNow=True).start()
+        assert q.awaitTermination(120)
+    assert {(r.path, r.mtime) for r in store.load(spark).collect()} == {("/v/b", 8), ("/v/late", 3), ("/v/to", 6)}
+    assert store.journal_seq() == 9
+
+
 def test_stateful_stream(spark, tmp_path):
     batches = tmp_path / "in"
     batches.mkdir()
