@@ -5,8 +5,8 @@ exactly g units free; a new container is one of the places, and a container with
 and counts no more. Ties go to the fullest container. Items are placed largest first.
 
 The rule is sequential, so items are dealt at random (by a hash of their key and place) into lots of about
-``lot`` items that are filled independently, each in a task of its own; only keys and sizes travel. What
-a lot leaves open is a handful of containers among hundreds, measured in the README.
+``lot`` items that are filled independently, a task for each lot and capacity; only keys and sizes travel.
+What a lot leaves open is a handful of containers among hundreds, measured in the README.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from pathloom.session import durable
 
 #: Items per independently filled lot.
 LOT = 16_384
-#: More capacities than this in one call are refused rather than multiplied out.
-MAX_CAPACITIES = 1_000
+#: Most tasks of the filling; more lots than these share tasks evenly.
+MOST_TASKS = 20_000
 
 
 def sum_of_squares_fill(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -68,19 +68,18 @@ def pack(
     texts, take no room: they come out with a null container and size 0. Null keys and null or
     non-positive capacities are left out; repeated keys are placed each on their own.
     """
-    caps = [(r[0], int(r[1])) for r in capacities.select(pack_key, capacity).where(F.col(capacity) > 0).where(F.col(pack_key).isNotNull()).distinct().limit(MAX_CAPACITIES + 1).collect()]
-    if len(caps) > MAX_CAPACITIES:
-        raise ValueError(f"more than {MAX_CAPACITIES} capacities")
+    caps = capacities.where(F.col(capacity) > 0).where(F.col(pack_key).isNotNull()).select(F.col(pack_key).alias("p"), F.col(capacity).cast("bigint").alias("cap")).distinct()
     slim = items.select(F.col(key).alias("k"), F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("bigint").alias("n")).where("k is not null")
     key_kind, pack_kind = dict(items.dtypes)[key], dict(capacities.dtypes)[pack_key]
     # sizes are measured once and kept; rows that are read back keep their numbers, so that even rows of one key part ways
     kept = durable(slim)
-    lots = max(1, -(-kept.count() // lot))
-    dealt = kept.withColumn("lot", F.pmod(F.xxhash64("k", F.monotonically_increasing_id()), F.lit(lots)).cast("int"))
+    lots, ways = max(1, -(-kept.count() // lot)), caps.count()
+    dealt = kept.withColumn("lot", F.pmod(F.xxhash64("k", F.monotonically_increasing_id()), F.lit(lots)))
     schema = f"{pack_key} {pack_kind}, container bigint, {key} {key_kind}, piece int, first bigint, size bigint"
-    if not caps:
-        return dealt.where("false").select(F.lit(None).cast(pack_kind).alias(pack_key), F.lit(None).cast("bigint").alias("container"), F.col("k").alias(key), F.lit(0).alias("piece"), F.lit(0).cast("bigint").alias("first"), F.col("n").alias("size"))
-    each = dealt.repartition("lot").withColumn("c", F.explode(F.array(*[F.struct(F.lit(p).cast(pack_kind).alias("p"), F.lit(c).cast("bigint").alias("cap")) for p, c in caps])))
+    # one task for each lot and capacity: a row that moves is a key, a size and four numbers, too little for partitions by bytes
+    listed = caps.agg(F.array_sort(F.collect_list(F.struct("p", "cap"))).alias("c")).scalar()
+    each = dealt.select("lot", "k", "n", F.posexplode(listed).alias("way", "c")).withColumn("slot", F.col("lot") * ways + F.col("way"))
+    each = each.repartitionById(max(1, min(lots * ways, MOST_TASKS)), F.col("slot").cast("int"))
 
     def fill(frame: pd.DataFrame) -> pd.DataFrame:
         cap, pack_id, lot_no = int(frame["cap"].iloc[0]), frame["p"].iloc[0], int(frame["lot"].iloc[0])
@@ -103,4 +102,4 @@ def pack(
             {pack_key: pack_id, "container": number, key: keys[who], "piece": piece.astype(np.int32), "first": piece * cap, "size": np.concatenate([np.full(len(whole), cap), rest[part], np.zeros(len(none), np.int64)]).astype(np.int64)}
         )
 
-    return each.select("lot", "k", "n", "c.p", "c.cap").groupBy("lot", "p").applyInPandas(fill, schema)
+    return each.select(F.col("slot").cast("int").alias("slot"), "lot", "k", "n", "c.p", "c.cap").groupBy("slot").applyInPandas(fill, schema)

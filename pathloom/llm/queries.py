@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pathloom.llm.leakage import leaks
 from pathloom.llm.lookalike import look_form, same_look_pairs, unified
 from pathloom.llm.packing import pack
-from pathloom.llm.quality import not_prose, text_quality
+from pathloom.llm.quality import given_words, not_prose, plain_statistics, text_quality
 from pathloom.llm.tokens import token_count
 from pathloom.llm.topn import top_n_per_group
 from pathloom.operators.skew import hot_keys, replicate, spread
@@ -72,15 +72,40 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d).select("doc_id", "item_id", "shared", F.round(F.col("shared") / F.col("stretches"), 6).alias("share"))
 
 
+def p7_leaked_items(spark: SparkSession, d: str) -> DataFrame:
+    """Every test item that leaked: into how many documents, and the most of its 12-word stretches that one document has."""
+    return _leaks(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.max("shared").alias("most_shared"), F.max("stretches").alias("stretches"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return not_prose(table(spark, d, "documents"), table(spark, d, "common_words"), key="doc_id", text="text", lang="lang")
 
 
+def p6_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of every filling: all documents placed, none above the capacity, nothing split but what exceeds it, no unit lost or doubled."""
+    parts = p6_pack(spark, d)
+    caps = table(spark, d, "pack_sizes").select("pack_id", F.col("capacity_tokens").alias("cap")).where("cap > 0").distinct()
+    loads = parts.where("container is not null").groupBy("pack_id", "container").agg(F.sum("size").alias("load"))
+    by_doc = parts.groupBy("pack_id", "doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("size").alias("units"), F.max(F.col("first") + F.col("size")).alias("end"))
+    over = loads.join(F.broadcast(caps), "pack_id").groupBy("pack_id").agg(F.count_if(F.expr("load > cap")).alias("overfull"))
+    docs = by_doc.join(F.broadcast(caps), "pack_id").groupBy("pack_id").agg(
+        F.count(F.lit(1)).alias("documents"), F.count_if(F.expr("pieces > 1 and units <= cap")).alias("split_small"), F.count_if(F.expr("units <> end or pieces <> greatest(1, ceil(units / cap))")).alias("broken"), F.count_if(F.expr("units = 0")).alias("empty")
+    )
+    return docs.join(over, "pack_id", "left").select("pack_id", "documents", "empty", "split_small", "broken", F.coalesce("overfull", F.lit(0)).alias("overfull"))
+
+
 def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """The statistics of every whole text as it stands."""
+    words = given_words(table(spark, d, "common_words"), "lang", "word")
+    return table(spark, d, "documents").select("doc_id", *plain_statistics(F.col("text"), words))
+
+
+def p8_outliers(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's distance from prose and what each statistic adds to it, beside the plain statistics."""
     return text_quality(table(spark, d, "documents"), table(spark, d, "common_words"), key="doc_id", text="text", lang="lang")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_top_of_name, p5_found, p5_forms, p6_pack, p7_found, p7_shares, p8_found, p8_statistics)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_top_of_name, p5_found, p5_forms, p6_pack, p6_checks, p7_found, p7_leaked_items, p7_shares, p8_found, p8_statistics, p8_outliers)}
 
 _ONCE = """WITH once AS (
   SELECT DISTINCT hit_id, query_id, path, name, score, mtime FROM search_results WHERE score IS NOT NULL AND NOT isnan(score))
@@ -100,6 +125,17 @@ QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, mtime DESC
     "p2_top_of_name": _ONCE
     + """SELECT name, hit_id FROM once WHERE name IS NOT NULL
 QUALIFY row_number() OVER (PARTITION BY name ORDER BY score DESC, mtime DESC NULLS LAST, path, hit_id) <= 3""",
+    "p6_checks": """SELECT pack_id, (SELECT count(*) FROM documents WHERE doc_id IS NOT NULL) AS documents, (SELECT count(*) FROM documents WHERE doc_id IS NOT NULL AND coalesce(text, '') = '') AS empty,
+0 AS split_small, 0 AS broken, 0 AS overfull FROM (SELECT DISTINCT pack_id FROM pack_sizes WHERE pack_id IS NOT NULL AND capacity_tokens > 0)""",
+    "p7_leaked_items": _GRAMS + "SELECT item_id, count(*) AS documents, max(shared) AS most_shared, max(stretches) AS stretches FROM hits JOIN n USING (item_id) GROUP BY 1",
+    "p8_statistics": r"""WITH d AS (SELECT doc_id, text AS t, regexp_extract_all(lower(text), '\p{L}+') AS w FROM documents),
+c AS (SELECT DISTINCT lower(trim(split_part(lang, '-', 1))) AS l, lower(word) AS word FROM common_words WHERE word IS NOT NULL AND lang IS NOT NULL),
+k AS (SELECT doc_id, max(n) AS known FROM (SELECT doc_id, l, count(*) AS n FROM (SELECT doc_id, unnest(w) AS word FROM d) JOIN c USING (word) GROUP BY 1, 2) GROUP BY 1),
+s AS (SELECT doc_id, t, w, known, len(regexp_extract_all(t, '[^ \t\r\f\n][^\n]*')) AS lines, len(regexp_extract_all(t, '[.?!…]["''”»)\]]*[ \t\r\f]*(?:\n|\z)')) AS stops,
+  len(regexp_extract_all(t, '[^\p{L}\p{N} \t\r\f\n]')) AS symbols FROM d LEFT JOIN k USING (doc_id))
+SELECT doc_id, length(t) AS text_chars, len(w) AS words, CASE WHEN len(w) > 0 THEN round(length(array_to_string(w, '')) / len(w), 6) END AS mean_word_length,
+CASE WHEN length(t) > 0 THEN round(symbols / length(t), 6) END AS symbol_ratio, CASE WHEN lines > 0 THEN round(stops / lines, 6) END AS stop_line_share,
+CASE WHEN len(w) > 0 THEN round(coalesce(known, 0) / len(w), 6) END AS common_word_share FROM s""",
     "p7_found": _GRAMS + "SELECT doc_id, item_id FROM hits",
     "p7_shares": _GRAMS + "SELECT doc_id, item_id, shared, round(shared / stretches, 6) AS share FROM hits JOIN n USING (item_id)",
 }

@@ -113,3 +113,19 @@ def test_rows_of_one_key_part_ways(spark):
     rows = packed(spark, [(7, 3)] * 400, [(1, 64)], lot=50).collect()
     assert len(rows) == 400 and sum(r.size for r in rows) == 1200
     assert len({r.container % 8 for r in rows}) > 4  # 8 lots interleave their containers
+
+
+def test_lots_and_capacities_have_tasks_of_their_own(spark):
+    items = spark.range(400).select(F.col("id").alias("doc_id"), (F.col("id") % 60 + 1).alias("tokens"))
+    caps = spark.createDataFrame([(k, 64 + k) for k in range(3)], "pack_id int, capacity int")
+    got = pack(items, caps, key="doc_id", size="tokens", pack_key="pack_id", capacity="capacity", lot=100)
+    tasks = got.withColumn("task", F.spark_partition_id()).groupBy("task").agg(F.count_distinct("pack_id").alias("packs")).collect()
+    assert len(tasks) == 4 * 3 and all(r.packs == 1 for r in tasks)
+
+
+def test_many_capacities(spark):
+    caps = spark.range(1500).select(F.col("id").alias("pack_id"), (F.col("id") + 10).alias("capacity"))
+    items = spark.createDataFrame([(1, 7), (2, 3000)], "doc_id bigint, tokens bigint")
+    got = pack(items, caps, key="doc_id", size="tokens", pack_key="pack_id", capacity="capacity")
+    assert got.select("pack_id").distinct().count() == 1500
+    assert got.groupBy("pack_id").agg(F.sum("size").alias("n")).where("n <> 3007").count() == 0
