@@ -4,7 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from pathloom.llm.lookalike import PLAIN, look_form, same_look_pairs, settle, unified, unify
+from pathloom.llm.lookalike import PLAIN, look_classes, look_form, same_look_pairs, scripts_of, settle, unified, unify
 
 SAME = [
     ("ｒｅａｄｍｅ．ｔｘｔ", "readme.txt"), ("café", "café"), ("re​ad﻿me", "readme"), ("a b　c d", "a b c d"), ("x‐y‑z－w", "x-y-z-w"), ("раураl", "paypal"), ("ρasswοrd", "password"), ("ⅿаіn", "main"),
@@ -32,6 +32,36 @@ def test_consistent_spelling():
     assert unify("wжο")[0] == unify("wжo")[0]  # no script spells all of it, still one form
 
 
+def test_script_sets():
+    # scripts written together, and letters of no script of their own, mix nothing
+    for t in ("日本語のテスト", "データベース", "한국어", "漢字한글", "naïveº", "обʼєкт", "ㄅ漢"):
+        assert unify(t)[1:] == (False, False), t
+    assert unify("обʼєкт")[0] == "обʼєкт"
+    for t in ("日本語сору", "のх한", "адmin", "παypal"):
+        assert unify(t)[1], t
+    assert scripts_of("日") >= {"Han", "Japanese", "Korean"} and scripts_of("ʼ") is None and scripts_of("º") == {"Latin"}
+
+
+def test_shapes_before_decomposition():
+    assert unify("ϲode")[0] == "code" and unify("ϹAT")[0] == "CAT"
+    assert unify("ſun")[0] == "ſun" != unify("sun")[0]
+    assert unify("ϑ")[0] != unify("θ")[0]
+
+
+def test_more_scripts():
+    assert unify("ꓮꓐꓚ") == ("ABC", False, True) and unify("ᎪᏴᏟ".replace("Ꮯ", "Ꮯ"))[2]
+    assert unify("հօ") == ("ho", False, True) and unify("հայ")[0] == "հայ"
+    # no script spells all of it: that of most letters is taken, whatever the spelling was
+    assert unify("журналdж")[0] == unify("журналԁж")[0] and unify("дaдaдw")[0] == "дададԝ"
+
+
+def test_classes(spark):
+    rows = [(1, "a"), (2, "ａ"), (3, "а"), (4, "A"), (5, None), (None, "a"), (7, "b"), (8, "b"), (9, ""), (10, "a")]
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], "id bigint, name string, k string, look_form string")
+    assert [tuple(r) for r in look_classes(df, "id", "name").collect()] == [("a", 1, 4, 3)]
+    assert look_classes(df.where("false"), "id", "name").count() == 0
+
+
 def test_idempotent_and_long():
     for a, b in SAME:
         assert unify(unify(a)[0])[0] == unify(a)[0]
