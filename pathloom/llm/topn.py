@@ -5,10 +5,13 @@ band down, tells in which band a group fills up: bands above it are taken whole
 bands below it are dropped, and only the band at the boundary is ranked, ties and all. The counts
 are compact states, so no group is ever gathered for them.
 
-A group with an outsized share of the rows is spread over slices throughout. At its boundary band
-each slice first keeps no more than the group still needs; where even that may be too much for one
-task (limits above ``RANK_AT_ONCE``), rows are range-partitioned by the full order instead and ranked
-by their place in a partition plus the sizes of the partitions before it.
+Rows move once: they are partitioned by group, and there combined by item, counted, joined to what their
+group still needs, and ranked. Two pre-passes over one column each find what must not move like that.
+Items delivered again and again are combined before they move. Groups with an outsized share of the rows are
+spread over slices throughout; at their boundary band each slice first keeps no more than the group
+still needs; where even that may be too much for one task (limits above ``RANK_AT_ONCE``), rows are
+range-partitioned by the full order instead and ranked by their place in a partition plus the sizes
+of the partitions before it.
 """
 
 from __future__ import annotations
@@ -19,13 +22,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from pathloom.operators.skew import SALTS, hot_keys, replicate, spread
+from pathloom.operators.skew import HOT_SHARE, SALTS
 from pathloom.session import durable
 
 #: Score bands; any number is correct.
 BANDS = 32
 #: The largest limit for which a hot group's slices are merged in one task (at most SALTS times as many rows).
 RANK_AT_ONCE = 10_000
+#: Buckets in which frequent groups and items are looked for.
+BUCKETS = 8_192
+
+
+def _bucket(c: str) -> Column:
+    return F.pmod(F.xxhash64(F.lit("bucket"), c), F.lit(BUCKETS)).cast("int")
+
+
+def _heavy(rows: DataFrame, c: str) -> list[int]:
+    """Buckets of ``c`` with more than 1/HOT_SHARE of the rows, so fewer than HOT_SHARE numbers; every frequent value is in one."""
+    counts = rows.groupBy(_bucket(c).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    return [r.b for r in counts.where(F.col("n") * HOT_SHARE > counts.agg(F.sum("n")).scalar()).select("b").collect()]
 
 
 def _ranked_by_range(rows: DataFrame, group: str, order: Sequence[Column]) -> DataFrame:
@@ -69,36 +84,59 @@ def top_n_per_group(
     wanted = limits.where(F.col(limit) > 0).groupBy(F.col(group).alias("g")).agg(F.max(limit).alias("n"))
     tie_columns = [f"t{k}" for k in range(len(ties))]
     order = [F.col("s").desc(), *[F.col(c).desc_nulls_last() if way == "desc" else F.col(c).asc_nulls_last() for c, way in zip(tie_columns, ties.values())], F.col("i").asc()]
-
-    # deliveries are combined before they move, so an item that comes again and again is one row per task
-    hot = hot_keys(valid, "g")
-    sliced = spread(valid, hot, "g", F.col("i"), salts, "salt").join(F.broadcast(hot.withColumn("is_hot", F.lit(True))), "g", "left")
-    once = sliced.groupBy("g", "salt", "i", "is_hot").agg(F.max(F.struct("s", *tie_columns)).alias("r"))
-    cuts = valid.agg(F.percentile_approx("s", [k / bands for k in range(1, bands)], 2_000).alias("c"))
-    cut = once.select("g", "salt", "is_hot", "i", "r.*").withColumn("cuts", cuts.scalar())
-    banded = cut.withColumn("band", F.coalesce(F.size(F.filter("cuts", lambda c: c > F.col("s"))), F.lit(0))).drop("cuts")
-
-    # from the top band down: where each group fills up, and how much it needs there
-    counts = banded.groupBy("g", "band").agg(F.count(F.lit(1)).alias("c")).join(wanted, "g")
-    running = counts.withColumn("upto", F.sum("c").over(W.partitionBy("g").orderBy("band").rowsBetween(W.unboundedPreceding, 0)))
-    fills = running.groupBy("g").agg(
-        F.min(F.when(F.col("upto") >= F.col("n"), F.col("band"))).alias("last"),
-        (F.max("n") - F.coalesce(F.max(F.when(F.col("upto") < F.col("n"), F.col("upto"))), F.lit(0))).alias("need"),
-    )
-    state = replicate(fills, hot, "g", salts, "salt").select(F.col("g").alias("fg"), F.col("salt").alias("fsalt"), "last", "need")
-    # the anti-join against filled groups and the lookup of what is still needed are one join
-    kept = banded.join(state, (F.col("g") == F.col("fg")) & (F.col("salt") == F.col("fsalt")) & (F.col("last").isNull() | (F.col("band") <= F.col("last"))))
     out = ["g", "i", "s", *tie_columns]
-    whole = kept.where("last is null or band < last").select(out)
-    edge = kept.where("band = last")
-    most = wanted.agg(F.max("n")).first()[0] or 0
-    near = edge if most <= rank_at_once else edge.where("is_hot is null")
-    first = near.withColumn("rn", F.row_number().over(W.partitionBy("g", "salt").orderBy(*order))).where("rn <= need")
-    parts = [whole, first.where("is_hot is null").select(out)]
-    if most <= rank_at_once:
-        merged = first.where("is_hot").withColumn("rn", F.row_number().over(W.partitionBy("g").orderBy(*order)))
-        parts.append(merged.where("rn <= need").select(out))
-    else:
-        parts.append(_ranked_by_range(edge.where("is_hot"), "g", order).where("__rank <= need").select(out))
-    union = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    cuts = valid.agg(F.percentile_approx("s", [k / bands for k in range(1, bands)], 2_000).alias("c"))
+    best = F.max(F.struct("s", *tie_columns)).alias("r")
+    parts_n = max(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+
+    # an item delivered as often as a frequent group is large would follow its slice into one task
+    again = _heavy(valid, "i")
+    if again:
+        often = _bucket("i").isin(again)
+        combined = valid.where(often).groupBy("g", "i").agg(best).select("g", "i", "r.*")
+        valid = valid.where(~often).unionByName(combined.select(valid.columns))
+
+    def first(rows: DataFrame, slices: int) -> tuple[DataFrame, DataFrame]:
+        """(rows taken whole, rows of the boundary band with what their group needs there) of groups in so many slices."""
+        salt = F.pmod(F.xxhash64("i"), F.lit(slices)).cast("int") if slices > 1 else F.lit(0)
+        sliced = rows.withColumn("salt", salt).repartition(parts_n, "g", "salt")
+        once = sliced.groupBy("g", "salt", "i").agg(best)
+        cut = once.select("g", "salt", "i", "r.*").withColumn("cuts", cuts.scalar())
+        banded = cut.withColumn("band", F.coalesce(F.size(F.filter("cuts", lambda c: c > F.col("s"))), F.lit(0))).drop("cuts")
+        # from the top band down: where each group fills up, and how much it needs there
+        counts = banded.groupBy("g", "salt", "band").agg(F.count(F.lit(1)).alias("c")).groupBy("g", "band").agg(F.sum("c").alias("c")) if slices > 1 else banded.groupBy("g", "salt", "band").agg(F.count(F.lit(1)).alias("c"))
+        running = counts.join(wanted, "g").withColumn("upto", F.sum("c").over(W.partitionBy("g").orderBy("band").rowsBetween(W.unboundedPreceding, 0)))
+        fills = running.groupBy("g").agg(
+            F.min(F.when(F.col("upto") >= F.col("n"), F.col("band"))).alias("last"),
+            (F.max("n") - F.coalesce(F.max(F.when(F.col("upto") < F.col("n"), F.col("upto"))), F.lit(0))).alias("need"),
+        )
+        state = fills.select(F.col("g").alias("fg"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("fsalt"), "last", "need")
+        # the anti-join against filled groups and the lookup of what is still needed are one join
+        kept = banded.join(state, (F.col("g") == F.col("fg")) & (F.col("salt") == F.col("fsalt")) & (F.col("last").isNull() | (F.col("band") <= F.col("last"))))
+        return kept, kept.where("band = last")
+
+    def ranked(kept: DataFrame) -> DataFrame:
+        """Rows taken whole, and of the boundary band in each slice the first that the group needs; only the latter are ordered."""
+        edge = F.coalesce(F.col("band") == F.col("last"), F.lit(False))
+        rows = kept.withColumn("edge", edge)
+        by = [F.when(F.col("edge"), F.col(c)) for c in ("s", *tie_columns, "i")]
+        ways = [by[0].desc(), *[c.desc_nulls_last() if w == "desc" else c.asc_nulls_last() for c, w in zip(by[1:-1], ties.values())], by[-1].asc()]
+        rn = F.row_number().over(W.partitionBy("g", "salt", "edge").orderBy(*ways))
+        return rows.withColumn("rn", rn).where("not edge or rn <= need")
+
+    # groups found frequent by their bucket share the slices with their few neighbours there
+    large = _heavy(valid, "g")
+    hot = _bucket("g").isin(large)
+    kept, _ = first(valid.where(~hot) if large else valid, 1)
+    union = ranked(kept).select(out)
+    if large:
+        wanted = wanted.where(hot)
+        kept, edge = first(valid.where(hot), salts)
+        most = wanted.agg(F.max("n")).first()[0] or 0
+        union = union.unionByName(kept.where("last is null or band < last").select(out))
+        if most <= rank_at_once:
+            merged = ranked(edge).withColumn("rn", F.row_number().over(W.partitionBy("g").orderBy(*order)))
+            union = union.unionByName(merged.where("rn <= need").select(out))
+        else:
+            union = union.unionByName(_ranked_by_range(edge, "g", order).where("__rank <= need").select(out))
     return union.select(F.col("g").alias(group), F.col("i").alias(item), F.col("s").alias(score), *[F.col(f"t{k}").alias(c) for k, c in enumerate(ties)])
