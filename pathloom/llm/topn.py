@@ -96,24 +96,25 @@ def top_n_per_group(
         combined = valid.where(often).groupBy("g", "i").agg(best).select("g", "i", "r.*")
         valid = valid.where(~often).unionByName(combined.select(valid.columns))
 
-    def first(rows: DataFrame, slices: int) -> tuple[DataFrame, DataFrame]:
-        """(rows taken whole, rows of the boundary band with what their group needs there) of groups in so many slices."""
-        salt = F.pmod(F.xxhash64("i"), F.lit(slices)).cast("int") if slices > 1 else F.lit(0)
-        sliced = rows.withColumn("salt", salt).repartition(parts_n, "g", "salt")
-        once = sliced.groupBy("g", "salt", "i").agg(best)
-        cut = once.select("g", "salt", "i", "r.*").withColumn("cuts", cuts.scalar())
+    def first(rows: DataFrame, slices: int) -> DataFrame:
+        """Rows of the bands down to where their group fills up, with that band and what the group needs there; groups in so many slices."""
+        keys = ["g", "salt"] if slices > 1 else ["g"]
+        sliced = rows.withColumn("salt", F.pmod(F.xxhash64("i"), F.lit(slices)).cast("int")) if slices > 1 else rows
+        once = sliced.repartition(parts_n, *keys).groupBy(*keys, "i").agg(best)
+        cut = once.select(*keys, "i", "r.*").withColumn("cuts", cuts.scalar())
         banded = cut.withColumn("band", F.coalesce(F.size(F.filter("cuts", lambda c: c > F.col("s"))), F.lit(0))).drop("cuts")
         # from the top band down: where each group fills up, and how much it needs there
-        counts = banded.groupBy("g", "salt", "band").agg(F.count(F.lit(1)).alias("c")).groupBy("g", "band").agg(F.sum("c").alias("c")) if slices > 1 else banded.groupBy("g", "salt", "band").agg(F.count(F.lit(1)).alias("c"))
+        counts = banded.groupBy(*keys, "band").agg(F.count(F.lit(1)).alias("c"))
+        if slices > 1:
+            counts = counts.groupBy("g", "band").agg(F.sum("c").alias("c"))
         running = counts.join(wanted, "g").withColumn("upto", F.sum("c").over(W.partitionBy("g").orderBy("band").rowsBetween(W.unboundedPreceding, 0)))
         fills = running.groupBy("g").agg(
             F.min(F.when(F.col("upto") >= F.col("n"), F.col("band"))).alias("last"),
             (F.max("n") - F.coalesce(F.max(F.when(F.col("upto") < F.col("n"), F.col("upto"))), F.lit(0))).alias("need"),
         )
-        state = fills.select(F.col("g").alias("fg"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("fsalt"), "last", "need")
+        state = fills.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))) if slices > 1 else fills
         # the anti-join against filled groups and the lookup of what is still needed are one join
-        kept = banded.join(state, (F.col("g") == F.col("fg")) & (F.col("salt") == F.col("fsalt")) & (F.col("last").isNull() | (F.col("band") <= F.col("last"))))
-        return kept, kept.where("band = last")
+        return banded.join(state, keys).where(F.col("last").isNull() | (F.col("band") <= F.col("last")))
 
     def ranked(kept: DataFrame) -> DataFrame:
         """Rows taken whole, and of the boundary band in each slice the first that the group needs; only the latter are ordered."""
@@ -121,17 +122,18 @@ def top_n_per_group(
         rows = kept.withColumn("edge", edge)
         by = [F.when(F.col("edge"), F.col(c)) for c in ("s", *tie_columns, "i")]
         ways = [by[0].desc(), *[c.desc_nulls_last() if w == "desc" else c.asc_nulls_last() for c, w in zip(by[1:-1], ties.values())], by[-1].asc()]
-        rn = F.row_number().over(W.partitionBy("g", "salt", "edge").orderBy(*ways))
+        keys = [c for c in ("g", "salt") if c in kept.columns]
+        rn = F.row_number().over(W.partitionBy(*keys, "edge").orderBy(*ways))
         return rows.withColumn("rn", rn).where("not edge or rn <= need")
 
     # groups found frequent by their bucket share the slices with their few neighbours there
     large = _heavy(valid, "g")
     hot = _bucket("g").isin(large)
-    kept, _ = first(valid.where(~hot) if large else valid, 1)
-    union = ranked(kept).select(out)
+    union = ranked(first(valid.where(~hot) if large else valid, 1)).select(out)
     if large:
         wanted = wanted.where(hot)
-        kept, edge = first(valid.where(hot), salts)
+        kept = first(valid.where(hot), salts)
+        edge = kept.where("band = last")
         most = wanted.agg(F.max("n")).first()[0] or 0
         union = union.unionByName(kept.where("last is null or band < last").select(out))
         if most <= rank_at_once:
