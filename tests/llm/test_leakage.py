@@ -45,11 +45,29 @@ def test_equals_brute_force(spark, monkeypatch, seed, run, part):
     assert len(got) == len(set(got)) and set(got) == brute(docs, items, run)
 
 
-def test_minimum_share_and_shuffle_join(spark, monkeypatch):
+def test_minimum_share_and_sliced_join(spark):
     docs, items = made(4)
     want = {x for x in brute(docs, items, 12) if x[2] >= 0.5 * x[3]}
-    monkeypatch.setattr(module, "broadcast_if_small", lambda df: df)  # as if the items were too many
-    assert set(found(spark, docs, items, 12, min_share=0.5)) == want
+    assert set(found(spark, docs, items, 12, min_share=0.5, broadcast_rows=3)) == want  # as if the items were too many
+    assert set(found(spark, docs, items, 12, min_share=0.5, broadcast_bytes=10)) == want
+
+
+def test_a_phrase_of_most_texts_is_spread(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(3000).select(F.col("id").alias("doc"), F.lit(7).alias("k"))
+    other = spark.createDataFrame([(7, "x"), (8, "y")], "k int, v string")
+    options = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for k, v in options.items():
+        spark.conf.set(k, v)
+    try:
+        met = module._met(rows, other, "k", F.col("doc"), "inner", False)
+        assert met.columns == ["k", "doc", "v"] and met.count() == 3000
+        tasks = met.groupBy(F.spark_partition_id()).count().collect()
+        assert len(tasks) > 1
+    finally:
+        for k in options:
+            spark.conf.unset(k)
 
 
 def test_common_phrase_and_copies(spark):
