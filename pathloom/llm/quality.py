@@ -20,6 +20,7 @@ import math
 import re
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -34,11 +35,11 @@ from pathloom.session import durable
 #: Statistic -> the unit it is counted over.
 STATISTICS = {
     "word_length": "words", "common_share": "words", "symbol_share": "tokens", "digit_share": "tokens", "stop_share": "lines", "marked_share": "lines",
-    "lines_per_token": "tokens", "separators_per_token": "tokens", "running_share": "pieces", "repeat_share": "words",
+    "lines_per_token": "tokens", "separators_per_token": "tokens", "running_share": "pieces", "repeats_per_word": "words",
 }
 UNITS = ("words", "tokens", "lines", "pieces")
 #: Statistics that are means of counts; the others are shares.
-COUNTS = ("word_length", "separators_per_token")
+COUNTS = ("word_length", "separators_per_token", "repeats_per_word")
 #: Chance that a block of prose with normally distributed statistics lies beyond the cutoff.
 LEVEL = 1e-5
 #: Blocks' worth of the estimate over all languages in the estimate of each.
@@ -68,6 +69,7 @@ _WIDE = re.compile(r"\S {2,}(?=\S)")
 _SENTENCE = re.compile(r"(?<=[.?!])[\"'”»)]*\s+")
 _CLOSERS = "\"'”»)] \t"
 _BITS = 24
+_MASK = (1 << _BITS) - 1
 
 
 def chi_square_share(x: float, degrees: int) -> float:
@@ -156,16 +158,22 @@ class Profile:
             for w in common[lang]:
                 self.pack[w] = self.pack.get(w, 0) | 1 << (_BITS * k)
 
-    def counts(self, packed: int) -> list[int]:
-        return [packed >> (_BITS * k) & (1 << _BITS) - 1 for k in range(len(self.languages))]
-
     def best(self, packed: int) -> tuple[int, int]:
-        """(common words, number) of the language with most of them; (0, -1) without languages."""
-        return max(((n, k) for k, n in enumerate(self.counts(packed))), default=(0, -1))
-
-    def other(self, packed: int, now: int) -> tuple[int, int]:
-        """(common words, number) of another language with so many more than ``now`` that chance (two deviations of the difference) doesn't explain it, else of ``now``."""
-        own = packed >> (_BITS * max(now, 0)) & (1 << _BITS) - 1 if now >= 0 else 0
+        """(common words, number) of the language with most of them; (0, -1) where there are none."""
+        most, at, k = 0, -1, 0
+        while packed:
+            n = packed & _MASK
+            if n > most:
+                most, at = n, k
+            packed >>= _BITS
+            k += 1
+        return most, at
+
+    def other(self, packed: int, words: int, now: int) -> tuple[int, int]:
+        """(common words, number) of another language with so many more among ``words`` than ``now`` that chance (two deviations of the difference) doesn't explain it, else of ``now``."""
+        own = packed >> (_BITS * now) & _MASK if now >= 0 else 0
+        if words - own <= 2 * math.sqrt(words + own):
+            return own, now
         most, k = self.best(packed)
         return (most, k) if most - own > 2 * math.sqrt(most + own) else (own, now)
 
@@ -180,7 +188,7 @@ def _cells(line: str) -> int:
 def _line_facts(line: str, profile: Profile):
     """Everything the blocks need of one logical line, in one pass over its sentences.
 
-    (line, words, letters, packed counts of common words, words that are among the four before them, marked, cells, tokens, ends a sentence, pieces, sentence-like pieces)
+    (line, words, letters, packed counts of common words, pairs of equal words at most four apart, marked, cells, tokens, ends a sentence, pieces, sentence-like pieces)
     """
     like = []
     words_n = letters = packed = again = pieces_n = 0
@@ -197,7 +205,7 @@ def _line_facts(line: str, profile: Profile):
         words_n += k
         letters += len("".join(words))
         packed += p
-        near = 0 if k == len(set(words)) else sum(words[i] in words[max(0, i - 4) : i] for i in range(1, k))
+        near = 0 if k == len(set(words)) else sum(sum(map(eq, words[n:], words)) for n in range(1, 5))
         again += near
         if k >= 4 and not marked and cells < 2:
             proper = piece[:1].isupper() and _stops(piece)
@@ -235,15 +243,15 @@ def block_statistics(text: str, profile: Profile) -> list[Block]:
     def close(block: list) -> None:
         whole = "\n".join([f[0] for f in block])
         k, m, n = sum(f[1] for f in block), len(block), len(whole) - len(block) + 1
-        common, lang = profile.other(sum(f[3] for f in block), doc_lang)
+        common, lang = profile.other(sum(f[3] for f in block), k, doc_lang)
         proper_n, words, known, squares = 0, 0, 0.0, 0.0
         shares, parts = [], []
         for f in block:
             for size, pk, pp, proper in f[10]:
                 # a sentence may be a quotation in another language
-                c, other = profile.other(pp, lang)
+                c, other = profile.other(pp, pk, lang)
                 if other != lang:
-                    common += c - (pp >> (_BITS * lang) & (1 << _BITS) - 1 if lang >= 0 else 0)
+                    common += c - (pp >> (_BITS * lang) & _MASK if lang >= 0 else 0)
                 if proper:
                     proper_n += size
                     words, known, squares = words + pk, known + c, squares + c * c / pk

@@ -29,7 +29,7 @@ def test_statistics():
     ((_, _, s, b),) = stats("it was not the one that we had in mind")
     assert s["running_share"] == 0 and b.shares == [pytest.approx(7 / 10)] and b.parts == [1.0]
     ((_, _, s, _),) = stats("logs logs logs logs queues logs")
-    assert s["repeat_share"] == pytest.approx(4 / 6)
+    assert s["repeats_per_word"] == pytest.approx((3 + 2 + 2 + 2) / 6)
 
 
 def test_a_quotation_in_another_language_counts_there():
