@@ -19,6 +19,7 @@ class ContentConfig:
     enabled: bool = True
     engine: str = "auto"
     allow_slow_fallback: bool = False
+    in_work_tree: bool = False
 
 
 @dataclass(frozen=True)

@@ -93,16 +93,20 @@ def scope_boost(path: Column, path_depth: Column, scope: str | Column | None) ->
 # --- abbreviations -------------------------------------------------------------------------------
 
 
-def token_initials(path: Column) -> Column:
-    """The first character of every token, lower case; the root is a token of its own."""
+def token_initials(path: Column, fold: bool = True) -> Column:
+    """The first character of every token, lower case unless ``fold`` is off; the root is a token of its own."""
     tokens = F.filter(F.split(path, r"[/\-_.]"), lambda t: t != "")
-    letters = F.array_join(F.transform(tokens, lambda t: F.lower(F.substring(t, 1, 1))), "")
+    letters = F.array_join(F.transform(tokens, lambda t: F.lower(F.substring(t, 1, 1)) if fold else F.substring(t, 1, 1)), "")
     return F.concat(F.when(path.startswith("/"), "/").otherwise(""), letters)
 
 
+def _boundaries(path: Column) -> Column:
+    return F.regexp_replace(path, "(?s)(?<![_\\-/.])[^\\p{Lu}]", "\u0001")
+
+
 def boundary_mask(path: Column) -> Column:
     """The path in lower case with everything but capitals and characters after ``_ - / .`` blanked out, positions kept."""
-    return F.lower(F.regexp_replace(path, "(?s)(?<![_\\-/.])[^\\p{Lu}]", "\u0001"))
+    return F.lower(_boundaries(path))
 
 
 def _pattern(q: str) -> str:
@@ -114,17 +118,19 @@ def _text(c: str) -> str:
     return "'" + c.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _walk(text: str, q: str, score: str) -> Column:
+def _walk(text: str, q: str, score: str, capitals: str | None = None) -> Column:
     """``score`` (SQL over ``w``) of the greedy leftmost walk of the characters of ``q`` through a column; null where it breaks off.
 
     ``w`` has the 1-based ``first`` and ``last`` positions, ``total``, the sum of 0-based ones, and ``pairs``, the number of
-    adjacent ones. Arrays of one name a value, so that it is made once however often it is referred to.
+    adjacent ones, and ``caps``, whether the column ``capitals`` has capitals at all of them. Arrays of one name a value, so
+    that it is made once however often it is referred to.
     """
+    caps = f"w.caps and substring({capitals}, at, 1) rlike '^\\\\p{{Lu}}'" if capitals else "false"
     step = (
         f"(w, c) -> transform(array(locate(c, {text}, w.last + 1)), at -> named_struct('last', at, 'first', if(w.first = 0, at, w.first), 'total', w.total + at - 1, "
-        "'pairs', w.pairs + if(w.last > 0 and at = w.last + 1, 1, 0), 'ok', w.ok and at > 0))[0]"
+        f"'pairs', w.pairs + if(w.last > 0 and at = w.last + 1, 1, 0), 'ok', w.ok and at > 0, 'caps', {caps}))[0]"
     )
-    start = "named_struct('last', 0, 'first', 0, 'total', 0, 'pairs', 0, 'ok', true)"
+    start = f"named_struct('last', 0, 'first', 0, 'total', 0, 'pairs', 0, 'ok', true, 'caps', {'true' if capitals else 'false'})"
     return F.expr(f"transform(array(aggregate(array({', '.join(map(_text, q))}), {start}, {step})), w -> case when w.ok then {score} end)[0]")
 
 
@@ -137,9 +143,9 @@ def component_score(initials: str, q: str) -> Column:
     return _walk(initials, q, f"least(0.95D + w.pairs / {len(q)}D * 0.05D + {0.05 * len(q)!r}D / char_length({initials}), 0.99D)")
 
 
-def camel_score(mask: str, q: str) -> Column:
-    """Capitals and word starts in order: 0.90 and more, at most 0.96. A query in lower case earns no bonus for capitals."""
-    return _walk(mask, q, f"least(0.90D + w.pairs / {len(q)}D * 0.05D, 0.96D)")
+def camel_score(mask: str, q: str, capitals: str | None = None) -> Column:
+    """Capitals and word starts in order: 0.90 and more, at most 0.96; 0.05 of it where every character met a capital of the column ``capitals``."""
+    return _walk(mask, q, f"least(0.90D + w.pairs / {len(q)}D * 0.05D + if(w.caps, 0.05D, 0D), 0.96D)", capitals)
 
 
 def sequential_score(path_lc: str, q: str) -> Column:
@@ -148,11 +154,11 @@ def sequential_score(path_lc: str, q: str) -> Column:
     return _walk(path_lc, q, f"least(greatest(0.70D + w.pairs / {n}D * 0.05D + w.total / {n}D / {length} * 0.10D - (w.last - w.first + 1 - {n}) / {length} * 0.10D, 0.50D), 0.88D)")
 
 
-def prefix_score(name: Column, path: Column, q: str) -> Column:
+def prefix_score(name: Column, path: Column, q: str, fold: bool = True) -> Column:
     """1 for the stem, 0.99 for a prefix of it, 0.98 for a prefix of any component."""
-    name_lc = F.lower(name)
-    stem = F.when(name_lc.rlike(r"(?s)^.+\.[^.]*\z"), F.regexp_extract(name_lc, r"(?s)^(.+)\.[^.]*\z", 1)).otherwise(name_lc)
-    parts = F.concat(F.when(path.startswith("/"), F.array(F.lit("/"))).otherwise(F.array().cast("array<string>")), F.filter(F.split(F.lower(path), "/"), lambda c: c != ""))
+    name, text = (F.lower(name), F.lower(path)) if fold else (name, path)
+    stem = F.when(name.rlike(r"(?s)^.+\.[^.]*\z"), F.regexp_extract(name, r"(?s)^(.+)\.[^.]*\z", 1)).otherwise(name)
+    parts = F.concat(F.when(path.startswith("/"), F.array(F.lit("/"))).otherwise(F.array().cast("array<string>")), F.filter(F.split(text, "/"), lambda c: c != ""))
     return F.when(stem == q, 1.0).when(stem.startswith(q), 0.99).when(F.exists(parts, lambda c: c.startswith(q)), 0.98)
 
 
@@ -165,19 +171,34 @@ def with_abbreviation_columns(df: DataFrame) -> DataFrame:
     return df.withColumns({"path_lc": F.lower("path"), "initials": token_initials(F.col("path")), "mask": boundary_mask(F.col("path"))})
 
 
-def abbreviation(q: str) -> Column:
+def _best(scores: list[Column]) -> Column:
+    """The greatest score with its strategy, the earlier of equals; each score is bound once."""
+    bound = F.array(*[F.struct(s.alias("score"), F.lit(-k).alias("k")) for k, s in enumerate(scores)])
+    best = F.array(F.array_max(F.filter(bound, lambda b: b["score"].isNotNull())))
+    named = F.transform(best, lambda b: F.when(b.isNotNull(), F.struct(F.element_at(F.array(*map(F.lit, STRATEGIES)), 1 - b["k"]).alias("strategy"), b["score"].alias("score"))))
+    return named[0]
+
+
+def abbreviation(q: str, case_sensitive: bool = False) -> Column:
     """``struct<strategy string, score double>`` of the best strategy, null without a match or for an empty query.
 
-    For tables with ``name``, ``path`` and the columns of :func:`with_abbreviation_columns`. Positions count characters, so a path
-    with characters beyond ASCII can score a little differently from engines that count bytes.
+    For tables with ``name``, ``path`` and the columns of :func:`with_abbreviation_columns`; a case-sensitive match makes its own from
+    ``path``, by :func:`with_case_columns`. A query in capitals earns a bonus where it meets capitals. Positions count
+    characters, so a path with characters beyond ASCII can score a little differently from engines that count bytes.
     """
-    q = q.lower()
+    given, q = q, q if case_sensitive else q.lower()
     if not q:
         return F.lit(None).cast("struct<strategy: string, score: double>")
-    scores = [prefix_score(F.col("name"), F.col("path"), q), component_score("initials", q), camel_score("mask", q), sequential_score("path_lc", q)]
-    best = F.array_max(F.array(*[F.when(s.isNotNull(), F.struct(s.alias("score"), F.lit(-k).alias("k"))) for k, s in enumerate(scores)]))
-    named = F.transform(F.array(best), lambda b: F.when(b.isNotNull(), F.struct(F.element_at(F.array(*map(F.lit, STRATEGIES)), 1 - b["k"]).alias("strategy"), b["score"].alias("score"))))
-    return named[0]
+    name, path, capitals = F.col("name"), F.col("path"), "path" if given.isupper() and given.isalpha() else None
+    text, initials, mask = ("path", "initials_cs", "mask_cs") if case_sensitive else ("path_lc", "initials", "mask")
+    # every strategy finds the characters in order in the path or in the name, so rows without them cost two patterns
+    best = _best([prefix_score(name, path, q, not case_sensitive), component_score(initials, q), camel_score(mask, q, capitals), sequential_score(text, q)])
+    return F.when(is_subsequence(F.col(text), q) | is_subsequence(name if case_sensitive else F.lower(name), q), best)
+
+
+def with_case_columns(df: DataFrame) -> DataFrame:
+    """Add ``initials_cs`` and ``mask_cs`` for case-sensitive abbreviations."""
+    return df.withColumns({"initials_cs": token_initials(F.col("path"), fold=False), "mask_cs": _boundaries(F.col("path"))})
 
 
 def search_abbreviation_score(q: str) -> Column:

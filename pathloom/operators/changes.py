@@ -12,9 +12,9 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from pathloom.functions.paths import basename, excluded
+from pathloom.operators.ordering import numbered
 from pathloom.schema import JOURNAL_LINE
 
 _META = ["name", "size", "mtime", "dev", "ino", "is_dir"]
@@ -207,6 +207,6 @@ def ordered_union(first: DataFrame, second: DataFrame, item: str, at: str) -> Da
     """``(item, position)``: the items of ``first`` in their order, then those only in ``second``."""
     both = first.select(item, F.lit(0).alias("side"), at).unionByName(second.select(item, F.lit(1).alias("side"), at))
     once = both.groupBy(item).agg(F.min(F.struct("side", at)).alias("k"))
-    return once.select(item, F.row_number().over(W.orderBy("k", item)).alias("position"))
+    return numbered(once, "k", item).select(item, "position")
 
 

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from pathloom.functions.display import snippet
-from pathloom.functions.paths import basename
+from pathloom.functions.paths import basename, in_subtree, scope_of
 
 # What each mode of search does and skips.
 MAX_FILE_BYTES = 2 * 1024 * 1024
+MAX_GREP_FILES = 20_000
+IGNORE_FILES = (".gitignore", ".ignore")
 SKIPPED_DIRS = (".git", ".hg", ".svn", "target", "node_modules", ".cargo", ".rustup", ".shux", ".venv", "venv", "__pycache__")
 ALIASES = {"rg": "ripgrep", "git_grep": "git-grep", "gitgrep": "git-grep"}
 MODES = ("ripgrep", "git-grep", "grep")
@@ -38,22 +43,48 @@ def _under(path: Column, names: tuple[str, ...]) -> Column:
     return F.arrays_overlap(dirs, F.array(*[F.lit(n) for n in names]))
 
 
-def search(texts: DataFrame, query: str, *, mode: str = "ripgrep", limit: int | None = None, path: str = "path", text: str = "text") -> DataFrame:
+def ignored_by(path: Column, rules: Sequence[tuple[str, str]]) -> Column:
+    """Whether the ignore files ``(path, text)`` exclude a file; a bounded list, such as those of one work tree."""
+    from pathloom.sources.fswalk import ignores
+
+    listed = [(p, t) for p, t in rules if p.rsplit("/", 1)[-1] in IGNORE_FILES]
+
+    @F.pandas_udf("boolean")
+    def test(paths: pd.Series) -> pd.Series:
+        known = ignores(listed)
+        return pd.Series([p is not None and known(p) for p in paths], dtype=object)
+
+    return test(path)
+
+
+def search(
+    texts: DataFrame, query: str, *, mode: str = "ripgrep", limit: int | None = None, path: str = "path", text: str = "text", scope: str | None = None, cwd: str = "/",
+    max_bytes: int = MAX_FILE_BYTES, ignore: Sequence[tuple[str, str]] = (), max_files: int | None = None,
+) -> DataFrame:
     """``(path, line_number, column, line)`` of lines that hold the query, once per line, by path and line.
 
-    ripgrep: capitals in the query make it case-sensitive; files above 2 MiB and hidden ones are skipped. git-grep:
-    case-sensitive. grep: case-sensitive, without columns, and without files under directories of tools and
-    builds. Texts with a NUL are binary and skipped; ``column`` is the 1-based byte where the first match begins.
-    A blank query or limit 0 finds nothing.
-    """
-    rows = texts.where(~F.contains(F.col(text), F.lit("\0")))
+    ripgrep: capitals in the query make it case-sensitive; files above ``max_bytes`` (2 MiB), hidden ones and those excluded by
+    the ``ignore`` files (path, text) are skipped. git-grep: case-sensitive. grep: case-sensitive, without columns, and without
+    files under directories of tools and builds; ``max_files`` looks at no more than so many, the first by path, as a bounded
+    fallback does (``MAX_GREP_FILES``), by default at all. ``scope`` is a file or directory. Texts with a NUL are binary and
+    skipped; ``column`` is the 1-based byte where the first match begins. A blank query or limit 0 finds nothing.
+    """
+    within = scope_of(scope, cwd)
+    rows = texts if within is None else texts.where(in_subtree(F.col(path), within))
+    rows = rows.where(~F.contains(F.col(text), F.lit("\0")))
     if not query.strip() or limit == 0:
         rows = rows.where("false")
-    hidden = F.exists(F.split(F.col(path), "/"), lambda c: c.startswith(".") & (c != ".") & (c != ".."))
+    # names are hidden below the scope, not in it
+    below = F.col(path) if within in (None, "/") else F.substring(F.col(path), len(within) + 1, 1 << 30)
+    hidden = F.exists(F.split(below, "/"), lambda c: c.startswith(".") & (c != ".") & (c != ".."))
     if mode == "ripgrep":
-        rows = rows.where((F.octet_length(text) <= MAX_FILE_BYTES) & ~hidden)
+        rows = rows.where((F.octet_length(text) <= max_bytes) & ~hidden)
+        if ignore:
+            rows = rows.where(~ignored_by(F.col(path), ignore))
     elif mode == "grep":
         rows = rows.where(~_under(F.col(path), SKIPPED_DIRS))
+        if max_files is not None:
+            rows = rows.orderBy(path).limit(max_files)
     elif mode != "git-grep":
         raise ValueError(mode)
     fold = mode == "ripgrep" and query == query.lower()
@@ -68,14 +99,22 @@ def search(texts: DataFrame, query: str, *, mode: str = "ripgrep", limit: int |
     return out.orderBy("path", "line_number").limit(limit) if limit is not None else out
 
 
-def as_results(hits: DataFrame, limit: int) -> DataFrame:
-    """The first hits as ``(rank, path, name, score)``: ``file:line:column  snippet``, scores falling from 1."""
+def as_results(hits: DataFrame, limit: int, files: DataFrame | None = None) -> DataFrame:
+    """The first hits as ``(rank, path, name, score, size, mtime)``: ``file:line:column  snippet``, scores falling from 1.
+
+    ``size`` and ``mtime`` are those of ``files``, 0 for a file it doesn't have.
+    """
     top = hits.orderBy("path", "line_number").limit(limit)
     total = F.greatest(F.count(F.lit(1)).over(W.partitionBy(F.lit(1))), F.lit(1)).cast("float")
     index = F.row_number().over(W.partitionBy(F.lit(1)).orderBy("path", "line_number")) - 1
     score = F.greatest(F.lit(0.01).cast("float"), (F.lit(1.0).cast("float") - (index.cast("float") / total).cast("float") * F.lit(0.25).cast("float")).cast("float"))
     name = F.concat(basename(F.col("path")), F.lit(":"), F.col("line_number").cast("string"), F.lit(":"), F.coalesce("column", F.lit(1)).cast("string"), F.lit("  "), snippet(F.col("line")))
-    return top.select((index + 1).alias("rank"), "path", name.alias("name"), score.alias("score"))
+    shown = top.select((index + 1).alias("rank"), "path", name.alias("name"), score.alias("score"))
+    if files is None:
+        return shown.withColumns({"size": F.lit(0).cast("bigint"), "mtime": F.lit(0).cast("bigint")})
+    # the few rows shown decide the join; the files table may be of any size
+    known = files.select("path", F.col("size").cast("bigint").alias("size"), F.col("mtime").cast("bigint").alias("mtime"))
+    return known.join(F.broadcast(shown), "path", "right").select("rank", "path", "name", "score", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("size", "mtime")])
 
 
 def parse_match(line: Column) -> Column:

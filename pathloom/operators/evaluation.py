@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathloom.functions.ranking import is_noise
+from pathloom.operators.ordering import running_sum
 from pathloom.session import broadcast_if_small
 
 
@@ -70,8 +71,11 @@ def latency_summary(samples: DataFrame, *by: str) -> DataFrame:
     keys = list(by)
     ok = samples.where("ok and elapsed_us is not null")
     counts = ok.groupBy(*keys, "elapsed_us").agg(F.count(F.lit(1)).alias("c"))
-    part = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(1))
-    upto = counts.withColumns({"hi": F.sum("c").over(part.orderBy("elapsed_us").rowsBetween(W.unboundedPreceding, 0)), "n": F.sum("c").over(part)})
+    if keys:
+        part = W.partitionBy(*keys)
+        upto = counts.withColumns({"hi": F.sum("c").over(part.orderBy("elapsed_us").rowsBetween(W.unboundedPreceding, 0)), "n": F.sum("c").over(part)})
+    else:
+        upto = running_sum(counts, F.col("c"), "elapsed_us", at="hi").withColumn("n", counts.agg(F.sum("c")).scalar())
     at = lambda p: F.floor(F.lit(p) * (F.col("n") - 1) + F.lit(0.5))
     pick = [F.min(F.when(F.col("hi") > at(p), F.col("elapsed_us"))).alias(name) for name, p in (("p50_us", 0.5), ("p90_us", 0.9), ("p95_us", 0.95), ("p99_us", 0.99))]
     total = F.sum(F.col("elapsed_us") * F.col("c"))

@@ -25,10 +25,9 @@ def build(files: DataFrame, exclusions: Sequence[str] = ()) -> DataFrame:
 
 def trigrams(text: Column) -> Column:
     """Every three bytes in a row of the lower-case text as one integer each; empty under three bytes, null for null."""
-    raw = F.encode(F.lower(text), "utf-8")
-    byte = lambda i, k: F.conv(F.hex(F.substring(raw, i + k, 1)), 16, 10).cast("int")
-    windows = F.transform(F.sequence(F.lit(1), F.octet_length(raw) - 2), lambda i: byte(i, 0) * 65_536 + byte(i, 1) * 256 + byte(i, 2))
-    return F.when(F.octet_length(raw) >= 3, windows).otherwise(F.when(text.isNotNull(), F.array().cast("array<int>")))
+    digits = F.hex(F.encode(F.lower(text), "utf-8"))
+    windows = F.transform(F.sequence(F.lit(1), F.length(digits) - 5, F.lit(2)), lambda i: F.conv(F.substring(digits, i, 6), 16, 10).cast("int"))
+    return F.when(F.length(digits) >= 6, windows).otherwise(F.when(text.isNotNull(), F.array().cast("array<int>")))
 
 
 def trigrams_of(text: str) -> list[int]:
@@ -79,3 +78,12 @@ def status(files: DataFrame) -> DataFrame:
 def trigram_count(files: DataFrame, approximate: bool = False) -> DataFrame:
     """Number of distinct trigrams of all names."""
     return grams(files).agg((F.approx_count_distinct("trigram", 0.01) if approximate else F.count_distinct("trigram")).alias("trigrams"))
+
+
+def index_sizes(files: DataFrame) -> DataFrame:
+    """One row: bytes of names and paths, bytes of postings (four a trigram and file, four a distinct trigram), and postings per byte of text, six places."""
+    arena = files.agg(F.coalesce(F.sum(F.octet_length("path") + F.octet_length("name")), F.lit(0)).alias("arena_bytes"))
+    each = grams(files).groupBy("trigram").agg(F.count(F.lit(1)).alias("n"))
+    held = each.agg((F.coalesce(F.sum("n"), F.lit(0)) * 4 + F.count(F.lit(1)) * 4).alias("index_bytes"))
+    a = F.col("arena_bytes")
+    return held.withColumn("arena_bytes", arena.scalar()).select("arena_bytes", "index_bytes", F.when(a > 0, F.round(F.col("index_bytes") / a, 6)).otherwise(0.0).alias("index_ratio"))

@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 
 from pathloom.functions.paths import in_subtree, scope_column, scope_of
 from pathloom.functions.ranking import LITERAL, frecency, is_exact_name, is_literal, is_subsequence, matches_text, name_score, scope_boost, search_abbreviation_score, usage_boost
-from pathloom.operators.abbreviations import abbreviated
+from pathloom.operators.abbreviations import abbreviated, containing
 from pathloom.operators.index import has_trigrams
 from pathloom.plans import dsl
 from pathloom.session import broadcast_if_small
@@ -25,6 +25,10 @@ from pathloom.session import broadcast_if_small
 ORDER = (("score", "desc"), ("place", "desc"), ("mtime", "desc"), ("depth", "asc"), ("path", "asc"))
 EXACT_ORDER = (("mtime", "desc"), ("depth", "asc"), ("path", "asc"))
 RECENT_ORDER = (("mtime", "desc"), ("file_id", "asc"))
+#: Distinct terms that go to every task at once (a few dozen bytes each).
+AT_ONCE = 200_000
+#: Slices of a piece's files when many terms are answered at once.
+SLICES = 16
 # The bounds of the compatible modes.
 CANDIDATE_CAP, SCAN_BOUND, SCAN_AFTER_LIMIT, SCAN_EMPTY = 10_000, 50_000, 10_000, 1_000
 
@@ -34,7 +38,8 @@ class Request:
     """``mode`` "uniform" scores every row; "indexed" only names with all trigrams of a term of three bytes and more.
 
     ``exact_first`` answers a term that is some file's whole name with just those files. ``candidate_cap`` and
-    ``scan_bounds`` reproduce bounds of an interactive engine and make results depend on file ids.
+    ``scan_bounds`` reproduce bounds of an interactive engine and make results depend on file ids; the latter may also be
+    (rows at all, rows once the limit is reached, rows without a match).
     ``filter_stage`` "post" applies the filters to the limited result, as a client would.
     """
 
@@ -47,7 +52,7 @@ class Request:
     exact_first: bool = False
     mode: str = "uniform"
     candidate_cap: int | None = None
-    scan_bounds: bool = False
+    scan_bounds: bool | tuple[int, int, int] = False
     filters: tuple = ()
     filter_stage: str = "pre"
     dirs_only: bool = False
@@ -63,7 +68,8 @@ def _ranked(rows: DataFrame, keys: Sequence[tuple[str, str]], limit: int) -> Dat
     return top.withColumn("rank", F.row_number().over(W.orderBy(*_order(keys))))
 
 
-def _scoped(files: DataFrame, req: Request) -> DataFrame:
+def scoped(files: DataFrame, req: Request) -> DataFrame:
+    """The files of the request's scope and, unless they come after the limit, of its filters."""
     scope = scope_of(req.filter_scope, req.cwd)
     out = files if scope is None else files.where(in_subtree(F.col("path"), scope))
     if req.filter_stage == "pre":
@@ -88,39 +94,42 @@ def _scored(files: DataFrame, req: Request) -> DataFrame:
 
 
 def _scan_bounded(files: DataFrame, req: Request) -> DataFrame:
-    """Rows in id order until the bounds of a short query; never more than SCAN_BOUND rows meet in the window."""
-    first = files.orderBy("file_id").limit(SCAN_BOUND)
+    """Rows in id order until the bounds of a short query; never more rows than the first bound meet in the window."""
+    most, after_limit, empty = (SCAN_BOUND, SCAN_AFTER_LIMIT, SCAN_EMPTY) if req.scan_bounds is True else req.scan_bounds
+    first = files.orderBy("file_id").limit(most)
     by_id = W.orderBy("file_id")
     hit = _scored(first, req).select("file_id").withColumn("hit", F.lit(1))
     seen = first.join(hit, "file_id", "left").withColumns({"at": F.row_number().over(by_id) - 1, "before": F.coalesce(F.sum("hit").over(by_id.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))})
-    stop = (F.col("before") >= req.limit) & (F.col("at") >= SCAN_AFTER_LIMIT)
+    stop = (F.col("before") >= req.limit) & (F.col("at") >= after_limit)
     if scope_of(req.filter_scope, req.cwd) is None:
-        stop = stop | ((F.col("before") == 0) & (F.col("at") >= SCAN_EMPTY))
-    return seen.where(~stop).drop("hit", "at", "before")
+        stop = stop | ((F.col("before") == 0) & (F.col("at") >= empty))
+    # the scan ends at the first row that stops it, whatever comes after
+    ended = F.max(stop).over(by_id.rowsBetween(W.unboundedPreceding, 0))
+    return seen.withColumn("ended", ended).where("not ended").drop("hit", "at", "before", "ended")
 
 
 def plan(files: DataFrame, req: Request) -> DataFrame:
     """The ranked rows of a request, before any usage boost: recents, exact names, or scored matches."""
-    scoped = _scoped(files, req)
+    inside = scoped(files, req)
     if not req.term.strip() and req.recent_if_empty:
         return recent(files, req)
     q = req.term.lower()
     if req.exact_first and is_exact_name(q):
         whole = files.where(F.col("name_lc") == q)
         if not whole.isEmpty():
-            return _ranked(_scoped(whole, req).withColumn("score", F.lit(1.0).cast("float")), EXACT_ORDER, req.limit)
+            return _ranked(scoped(whole, req).withColumn("score", F.lit(1.0).cast("float")), EXACT_ORDER, req.limit)
     if req.mode == "indexed" and len(q.encode()) >= 3:
-        scoped = scoped.where(has_trigrams(F.col("name_lc"), q))
+        inside = inside.where(has_trigrams(F.col("name_lc"), q))
         if req.candidate_cap:
-            scoped = scoped.orderBy("file_id").limit(req.candidate_cap)
+            inside = inside.orderBy("file_id").limit(req.candidate_cap)
     elif req.scan_bounds and len(q.encode()) < 3:
-        scoped = _scan_bounded(scoped, req)
-    return _ranked(_scored(scoped, req), ORDER, req.limit)
+        inside = _scan_bounded(inside, req)
+    return _ranked(_scored(inside, req), ORDER, req.limit)
 
 
 def recent(files: DataFrame, req: Request) -> DataFrame:
     """The newest files, the lower id first among equals; score 0."""
-    return _ranked(_scoped(files, req).withColumn("score", F.lit(0.0).cast("float")), RECENT_ORDER, req.limit)
+    return _ranked(scoped(files, req).withColumn("score", F.lit(0.0).cast("float")), RECENT_ORDER, req.limit)
 
 
 def touched(files: DataFrame, updates: DataFrame, limit: int, ring: int = 4_096) -> DataFrame:
@@ -168,50 +177,66 @@ def search_dsl(files: DataFrame, raw: str, *, now: int, zone: str = "UTC", **opt
     return search(files, Request(term=parsed.term, filters=tuple(parsed.predicates()), **options))
 
 
-def _byte_grams(*texts: Column) -> Column:
-    """Distinct three-byte pieces of the texts."""
+def _pieces(sizes: Sequence[int], *texts: Column) -> Column:
+    """Distinct pieces of so many bytes of the texts, in hexadecimal digits, which slice like bytes and compare like texts."""
 
-    def of(text: Column) -> Column:
-        raw = F.encode(text, "utf-8")
-        return F.when(F.octet_length(raw) >= 3, F.transform(F.sequence(F.lit(1), F.octet_length(raw) - 2), lambda i: F.substring(raw, i, 3))).otherwise(F.array().cast("array<binary>"))
+    def of(text: Column, n: int) -> Column:
+        digits = F.hex(F.encode(text, "utf-8"))
+        at = F.sequence(F.lit(1), F.length(digits) - 2 * n + 1, F.lit(2))
+        return F.when(F.length(digits) >= 2 * n, F.transform(at, lambda i: F.substring(digits, i, 2 * n))).otherwise(F.array().cast("array<string>"))
 
-    return F.array_distinct(F.concat(*[of(t) for t in texts]))
+    return F.array_distinct(F.concat(*[of(t, n) for t in texts for n in sizes]))
+
+
+def _by_rarest_piece(slim: DataFrame, terms: DataFrame, sizes: Sequence[int]) -> DataFrame:
+    """``slim`` rows with every term ``t`` that their name or path contains, by the term's rarest piece."""
+    slice_ = F.pmod(F.xxhash64("file_id"), F.lit(SLICES)).cast("int")
+    parts = terms.select("t", F.explode(F.when(F.octet_length("t") >= 3, _pieces([3], F.col("t"))).otherwise(F.array(F.hex(F.encode("t", "utf-8"))))).alias("g"))
+    cut = slim.select("file_id", F.explode(_pieces(sizes, F.col("name_lc"), F.col("path_lc"))).alias("g"))
+    # partitioned once: counted there and joined there
+    grams = cut.join(broadcast_if_small(parts.select("g").distinct()), "g", "left_semi").withColumn("slice", slice_).repartition("g", "slice")
+    held = grams.groupBy("g", "slice").agg(F.count(F.lit(1)).alias("files")).groupBy("g").agg(F.sum("files").alias("files"))
+    rare = parts.join(held, "g", "left").groupBy("t").agg(F.min(F.struct("files", "g")).alias("r"), F.count_if(F.col("files").isNull()).alias("missing")).where("missing = 0")
+    rarest = rare.select("t", F.col("r.g").alias("g"), F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))).alias("slice"))
+    near = grams.join(rarest, ["g", "slice"]).select("t", "file_id").join(slim, "file_id")
+    return near.where(matches_text(F.col("name_lc"), F.col("path_lc"), F.col("t")))
 
 
 def search_many(
-    files: DataFrame, queries: DataFrame, *, query_id: str, term: str, limit: str, filter_scope: str | None = None, boost_scope: str | None = None, cwd: str = "/", abbreviations: bool = True
+    files: DataFrame, queries: DataFrame, *, query_id: str, term: str, limit: str, filter_scope: str | None = None, boost_scope: str | None = None, cwd: str = "/", abbreviations: bool = True, at_once: int = AT_ONCE
 ) -> DataFrame:
     """Many searches in one job: ``(query_id, rank, path, score)``, what :func:`search` finds in its default mode for each.
 
     ``filter_scope`` and ``boost_scope`` name the columns of the scopes, if there are any; null and blank scopes are none.
     Without ``abbreviations`` terms are looked for as substrings only.
 
-    Equal terms are matched and scored once, equal (term, filter scope, boost scope) ranked once. A term of three
-    bytes or more meets only the files that have its rarest trigram, by an equi-join, and those are verified; shorter terms,
-    of which there are few, are looked for in every file. The distinct terms that aren't literal go to the driver and
-    from there to every task, which walks each of its paths once for all of them. Every task keeps the best rows of a
-    request before they are shuffled. Null and empty terms, and limits below one, find nothing.
+    Equal terms are matched and scored once, equal (term, filter scope, boost scope) ranked once. Up to ``at_once`` distinct
+    terms go to the driver and from there to every task, which looks for all of them in each of its files in one pass, moving only
+    matches. More terms are met by an equi-join: a file is cut into pieces of three bytes (or as short as a term is), a
+    term meets the files that have its rarest piece, and those are verified; pieces move in slices, so that a common piece is not
+    one task's work. The distinct terms that aren't literal always go to every task, which walks each of its paths once for
+    all of them. Every task keeps the best rows of a request before they are shuffled, so a popular term is no burden to one.
+    Null and empty terms, and limits below one, find nothing.
     """
     scope = lambda c: F.coalesce(scope_column(F.col(c), cwd), F.lit("")) if c else F.lit("")
     wanted = queries.where(F.col(limit) > 0).where(F.col(term) != "").select(F.col(query_id).alias("q"), F.lower(term).alias("t"), scope(filter_scope).alias("within"), scope(boost_scope).alias("near"), F.col(limit).alias("n"))
     asked = wanted.groupBy("q", "t", "within", "near").agg(F.max("n").alias("n"))
-    most = asked.agg(F.max("n")).first()[0] or 0
+    most, sizes = asked.agg(F.coalesce(F.max("n"), F.lit(0)), F.collect_set(F.least(F.octet_length("t"), F.lit(3)))).first()
     terms = asked.select("t").distinct()
     slim = files.select("file_id", "path", "name_lc", "path_lc", "mtime", "depth", "context")
-    grams = slim.select("file_id", F.explode(_byte_grams(F.col("name_lc"), F.col("path_lc"))).alias("g"))
-    spread = grams.groupBy("g").agg(F.count(F.lit(1)).alias("files"))
-    long = F.octet_length("t") >= 3
-    parts = terms.where(long).select("t", F.explode(_byte_grams(F.col("t"))).alias("g")).join(spread, "g", "left")
-    rarest = parts.groupBy("t").agg(F.min(F.struct("files", "g")).alias("r"), F.count_if(F.col("files").isNull()).alias("missing")).where("missing = 0").select("t", F.col("r.g").alias("g"))
-    near = rarest.join(grams, "g").select("t", "file_id").join(slim, "file_id")
-    text = matches_text(F.col("name_lc"), F.col("path_lc"), F.col("t"))
-    found = near.where(text).unionByName(slim.join(broadcast_if_small(terms.where(~long), 100_000), text), allowMissingColumns=True)
+    # few bytes, much work: partitions that suit the bytes would leave it to one task
+    wide = 4 * files.sparkSession.sparkContext.defaultParallelism
+    every = [r.t for r in terms.limit(at_once + 1).collect()]
+    if len(every) <= at_once:
+        found = slim.drop("file_id").repartition(wide, "path").mapInArrow(containing(every), ", ".join(["t string", *(f"{c} {k}" for c, k in slim.drop("file_id").dtypes)]))
+    else:
+        found = _by_rarest_piece(slim, terms, sorted(sizes))
     kept = ("t", "path", "mtime", "depth", "context", "score")
     scored = found.withColumn("score", name_score(F.col("name_lc"), F.col("t"))).select(*kept)
-    loose = [r.t for r in terms.where(F.translate("t", LITERAL, "") == F.col("t")).collect()] if abbreviations else []
+    some = every if len(every) <= at_once else [r.t for r in terms.where(F.translate("t", LITERAL, "") == F.col("t")).collect()]
+    loose = [t for t in some if not is_literal(t)] if abbreviations else []
     if loose:
-        # few bytes, much work: partitions that suit the bytes would leave it to one task
-        walked = files.select("name_lc", "path_lc", "initials", "mask", *kept[1:5]).repartition(4 * files.sparkSession.sparkContext.defaultParallelism, "path")
+        walked = files.select("name_lc", "path_lc", "initials", "mask", *kept[1:5]).repartition(wide, "path")
         kinds = dict(walked.dtypes)
         scored = scored.unionByName(walked.mapInArrow(abbreviated(loose), ", ".join(["t string", *(f"{c} {kinds[c]}" for c in kept[1:5]), "score float"])))
     requests = asked.select("t", "within", "near").distinct()

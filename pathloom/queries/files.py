@@ -6,14 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from pathloom.config import Config
+from pathloom.engine import Engine
 from pathloom.functions import display
 from pathloom.functions.paths import depth, excluded, in_subtree, in_subtree_range
 from pathloom.functions.ranking import abbreviation, camel_score, component_score, context_score, is_subsequence, sequential_score
 from pathloom.operators import changes, content, evaluation, grouping, index, usage
 from pathloom.operators.search import Request, recent, search, search_dsl, search_many, touched
 from pathloom.queries import sqltext as q
-from pathloom.session import table
-from pathloom.sources import tables
+from pathloom.session import shared_folder, table
+from pathloom.sources import fswalk, tables
+from pathloom.sources.store import SnapshotStore
+from pathloom.streaming.apply import apply_to_store, journal_stream
 
 NOW = 1_706_745_600  # after the last event of the events table
 SCOPE = "/vol/amber00/work"
@@ -64,8 +68,8 @@ _find("search_literal", "notes.", 50, q.search("notes.", 50))
 _find("search_indexed_mode", "umbra", 50, q.search("umbra", 50, where="contains(name_lc, 'umb') AND contains(name_lc, 'mbr') AND contains(name_lc, 'bra')"), mode="indexed")
 _find(
     "search_candidate_cap", "layout", 20,
-    "capped AS (SELECT * FROM fx WHERE contains(name_lc, 'lay') AND contains(name_lc, 'ayo') AND contains(name_lc, 'you') AND contains(name_lc, 'out') ORDER BY file_id LIMIT 10000), " + q.search("layout", 20, table="capped"),
-    mode="indexed", candidate_cap=10_000,
+    "capped AS (SELECT * FROM fx WHERE contains(name_lc, 'lay') AND contains(name_lc, 'ayo') AND contains(name_lc, 'you') AND contains(name_lc, 'out') ORDER BY file_id LIMIT 100), " + q.search("layout", 20, table="capped"),
+    mode="indexed", candidate_cap=100,
 )
 _find(
     "search_exact_name", "layout.toml", 20,
@@ -80,13 +84,23 @@ _find("search_unicode", "Über", 50, q.search("Über", 50))
 _find("search_path_only", "archive/", 50, q.search("archive/", 50))
 _find("search_context", "small_gear", 50, q.search("small_gear", 50, table="px"), base="px")
 _find("search_dirs_only", "models", 50, q.search("models", 50, where="is_dir"), dirs_only=True)
-_find(
-    "search_short_bounded", "a.", 20,
-    """numbered AS (SELECT *, row_number() OVER (ORDER BY file_id) - 1 AS pos FROM fx QUALIFY pos < 50000),
-seen AS (SELECT *, coalesce(sum(CASE WHEN contains(name_lc, 'a.') OR contains(path_lc, 'a.') THEN 1 ELSE 0 END) OVER (ORDER BY file_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM numbered),
-bounded AS (SELECT * FROM seen WHERE NOT ((before >= 20 AND pos >= 10000) OR (before = 0 AND pos >= 1000))), """ + q.search("a.", 20, table="bounded"),
-    scan_bounds=True,
-)
+
+
+def _bounded(name: str, term: str, limit: int, bounds: tuple[int, int, int]) -> None:
+    most, after, empty = bounds
+    _find(
+        name, term, limit,
+        f"""numbered AS (SELECT *, row_number() OVER (ORDER BY file_id) - 1 AS pos FROM fx QUALIFY pos < {most}),
+seen AS (SELECT *, coalesce(sum(CASE WHEN contains(name_lc, '{term}') OR contains(path_lc, '{term}') THEN 1 ELSE 0 END) OVER (ORDER BY file_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM numbered),
+bounded AS (SELECT * FROM seen QUALIFY NOT bool_or((before >= {limit} AND pos >= {after}) OR (before = 0 AND pos >= {empty})) OVER (ORDER BY file_id)), """ + q.search(term, limit, table="bounded"),
+        scan_bounds=bounds,
+    )
+
+
+# bounds small enough to act on the test tables: rows once the limit is reached, rows at all, rows without a match
+_bounded("search_short_bounded", "o_", 20, (2_000, 900, 200))
+_bounded("search_short_rows", "1", 1_000, (500, 400, 200))
+_bounded("search_short_empty", "a.", 20, (2_000, 900, 200))
 
 
 @query(
@@ -124,26 +138,31 @@ def scope_range(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH p(path) AS (VALUES ('/a/b'), ('/a/b-x/f'), ('/a/b/c'), ('/a/b/d'), ('/a/b.c'), ('/a/bc')) SELECT path FROM p WHERE path = '/a/b' OR starts_with(path, '/a/b/')"""
+    f"""WITH {q.FILES}, p AS (SELECT path FROM fx UNION ALL SELECT replace(path, '/work/', '/work-x/') FROM fx UNION ALL SELECT replace(path, '/work/', '/work.c/') FROM fx)
+SELECT path, count(*) AS files FROM p WHERE path = '{SCOPE}' OR starts_with(path, '{SCOPE}/') GROUP BY 1"""
 )
 def search_sibling_prefix(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(p,) for p in ("/a/b", "/a/b-x/f", "/a/b/c", "/a/b/d", "/a/b.c", "/a/bc")], "path string")
-    return rows.where(in_subtree(F.col("path"), "/a/b") & in_subtree_range(F.col("path"), "/a/b"))
+    """A subtree among siblings whose names begin with its own and sort between it and what lies below it; tested both ways."""
+    fx = _fx(spark, d).select("path")
+    siblings = [fx.select(F.replace("path", F.lit("/work/"), F.lit(f"/work{end}/")).alias("path")) for end in ("-x", ".c")]
+    rows = fx.unionByName(siblings[0]).unionByName(siblings[1])
+    return rows.where(in_subtree(F.col("path"), SCOPE) & in_subtree_range(F.col("path"), SCOPE)).groupBy("path").agg(F.count(F.lit(1)).alias("files"))
 
 
 # --- abbreviations ------------------------------------------------------------------------------
-def _abbr(name: str, term: str, column: str, sql: str) -> None:
+def _abbr(name: str, term: str, column: str, sql: str, base: str = "fx") -> None:
     def fn(spark: SparkSession, d: str) -> DataFrame:
-        fx = _fx(spark, d)
-        score = {"component": lambda: component_score("initials", term), "camel": lambda: camel_score("mask", term), "sequential": lambda: sequential_score("path_lc", term)}[column]()
+        fx = _fx(spark, d) if base == "fx" else _px(spark, d)
+        score = {"component": lambda: component_score("initials", term), "camel": lambda: camel_score("mask", term.lower(), "path" if term.isupper() else None), "sequential": lambda: sequential_score("path_lc", term)}[column]()
         return fx.select("path", F.round(score, 6).alias("score")).where("score is not null")
 
     fn.__name__ = name
-    query(f"WITH {q.FILES}, m AS (SELECT *, {q.INITIALS} AS initials, {q.MASK} AS mask FROM fx) SELECT path, round({sql}, 6) AS score FROM m WHERE score IS NOT NULL")(fn)
+    query(f"WITH {q.FILES if base == 'fx' else q.PARTS}, m AS (SELECT *, {q.INITIALS} AS initials, {q.MASK} AS mask FROM {base}) SELECT path, round({sql}, 6) AS score FROM m WHERE score IS NOT NULL")(fn)
 
 
 _abbr("abbr_component_first", "vaw", "component", q.component_score("vaw"))
 _abbr("abbr_camel", "vsc", "camel", q.camel_score("vsc"))
+_abbr("abbr_camel_capitals", "PB", "camel", q.camel_score("pb", "PB"), base="px")
 _abbr("abbr_sequential", "amber", "sequential", q.sequential_score("amber"))
 
 
@@ -266,13 +285,13 @@ def recent_scoped(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {q.FILES}, ring AS (SELECT file_id, file_id AS u FROM fx WHERE is_dir ORDER BY u DESC LIMIT 4096),
+    f"""WITH {q.FILES}, ring AS (SELECT file_id, file_id AS u FROM fx WHERE is_dir ORDER BY u DESC LIMIT 64),
 picked AS (SELECT fx.* FROM fx LEFT JOIN ring USING (file_id) ORDER BY u DESC NULLS LAST, mtime DESC, file_id LIMIT 100), {_recent_sql("true", "picked")}"""
 )
 def recent_touched(spark: SparkSession, d: str) -> DataFrame:
     fx = _fx(spark, d)
     updates = fx.where("is_dir").select("file_id", F.col("file_id").alias("update_seq"))
-    return _six(touched(fx, updates, 100)).select(*_SHOWN)
+    return _six(touched(fx, updates, 100, ring=64)).select(*_SHOWN)
 
 
 # --- usage --------------------------------------------------------------------------------------
@@ -331,14 +350,15 @@ def usage_boosted_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 # --- content ------------------------------------------------------------------------------------
+_DIRS = "(" + ", ".join(q.quote(x) for x in content.SKIPPED_DIRS) + ")"
 _TEXTS = """texts AS (SELECT '/docs/' || coalesce(trim(string_split(source, '/')[1]), 'none') || '/doc_' || doc_id || '.txt' AS path, text FROM documents WHERE text IS NOT NULL),
 lines AS (SELECT path, CAST(i AS INTEGER) AS line_number, regexp_replace(parts[i], '\\r$', '') AS line, text
   FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT *, string_split(regexp_replace(text, '\\n$', ''), chr(10)) AS parts FROM texts WHERE text <> '' AND NOT contains(text, chr(0)))))"""
 
 
-@query(f"WITH {_TEXTS} SELECT path, line_number, CAST(strlen(string_split(lower(line), 'watcher')[1]) + 1 AS INTEGER) AS \"column\", line FROM lines WHERE contains(lower(line), 'watcher') AND strlen(text) <= 2097152")
+@query(f"WITH {_TEXTS} SELECT path, line_number, CAST(strlen(string_split(lower(line), 'watcher')[1]) + 1 AS INTEGER) AS \"column\", line FROM lines WHERE contains(lower(line), 'watcher') AND strlen(text) <= 4096")
 def grep_smart_case(spark: SparkSession, d: str) -> DataFrame:
-    return content.search(tables.texts(spark, d), "watcher")
+    return content.search(tables.texts(spark, d), "watcher", max_bytes=4_096)
 
 
 @query(f"WITH {_TEXTS} SELECT path, line_number, CAST(strlen(string_split(line, 'Nobody expects')[1]) + 1 AS INTEGER) AS \"column\", line FROM lines WHERE contains(line, 'Nobody expects')")
@@ -346,20 +366,43 @@ def grep_columns(spark: SparkSession, d: str) -> DataFrame:
     return content.search(tables.texts(spark, d), "Nobody expects", mode="git-grep")
 
 
-@query(f"WITH {_TEXTS} SELECT path, line_number, CAST(NULL AS INTEGER) AS \"column\", line FROM lines WHERE contains(line, 'The ') AND len(list_filter(string_split(path, '/')[1:-2], lambda c: c IN ('.git', '.hg', '.svn', 'target', 'node_modules', '.cargo', '.rustup', '.shux', '.venv', 'venv', '__pycache__'))) = 0")
+@query(f"WITH {_TEXTS} SELECT path, line_number, CAST(NULL AS INTEGER) AS \"column\", line FROM lines WHERE contains(line, 'The ') AND len(list_filter(string_split(path, '/')[1:-2], lambda c: c IN {_DIRS})) = 0")
 def grep_literal(spark: SparkSession, d: str) -> DataFrame:
     return content.search(tables.texts(spark, d), "The ", mode="grep")
 
 
 @query(
-    f"""WITH {_TEXTS}, top AS (SELECT path, line_number, line, row_number() OVER (ORDER BY path, line_number) - 1 AS i FROM lines WHERE contains(lower(line), 'trigram') AND strlen(text) <= 2097152 QUALIFY i < 100),
+    f"""WITH {_TEXTS}, top AS (SELECT path, line_number, line, text, row_number() OVER (ORDER BY path, line_number) - 1 AS i FROM lines WHERE contains(lower(line), 'trigram') AND strlen(text) <= 2097152 QUALIFY i < 100),
 shown AS (SELECT *, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS t, count(*) OVER () AS total FROM top)
 SELECT CAST(i + 1 AS INTEGER) AS rank, path, string_split(path, '/')[-1] || ':' || line_number || ':' || (strlen(string_split(lower(line), 'trigram')[1]) + 1) || '  ' ||
   CASE WHEN length(t) > 96 THEN t[1:96] || '...' ELSE t END AS name,
-  round(CAST(greatest(CAST(0.01 AS FLOAT), CAST(1.0 AS FLOAT) - CAST(CAST(i AS FLOAT) / CAST(total AS FLOAT) AS FLOAT) * CAST(0.25 AS FLOAT)) AS DOUBLE), 6) AS score FROM shown"""
+  round(CAST(greatest(CAST(0.01 AS FLOAT), CAST(1.0 AS FLOAT) - CAST(CAST(i AS FLOAT) / CAST(total AS FLOAT) AS FLOAT) * CAST(0.25 AS FLOAT)) AS DOUBLE), 6) AS score,
+  CAST(strlen(text) AS BIGINT) AS size, CAST(coalesce(floor(epoch(created_at)), 0) AS BIGINT) AS mtime
+FROM shown JOIN (SELECT doc_id, created_at FROM documents) ON path LIKE '%/doc_' || doc_id || '.txt'"""
 )
 def grep_rows(spark: SparkSession, d: str) -> DataFrame:
-    return _six(content.as_results(content.search(tables.texts(spark, d), "trigram"), 100))
+    return _six(content.as_results(content.search(tables.texts(spark, d), "trigram"), 100, tables.text_files(spark, d)))
+
+
+@query(f"WITH {_TEXTS} SELECT path, line_number, CAST(strlen(string_split(lower(line), 'index')[1]) + 1 AS INTEGER) AS \"column\", line FROM lines WHERE contains(lower(line), 'index') AND strlen(text) <= 2097152 AND starts_with(path, '/docs/forum/')")
+def grep_scoped(spark: SparkSession, d: str) -> DataFrame:
+    return content.search(tables.texts(spark, d), "index", scope="/docs/forum/")
+
+
+@query(f"WITH {_TEXTS}, few AS (SELECT path FROM texts WHERE NOT contains(text, chr(0)) ORDER BY path LIMIT 300) SELECT path, line_number, CAST(NULL AS INTEGER) AS \"column\", line FROM lines JOIN few USING (path) WHERE contains(line, 'The ')")
+def grep_bounded(spark: SparkSession, d: str) -> DataFrame:
+    """The bounded fallback, with a bound small enough to act here."""
+    return content.search(tables.texts(spark, d), "The ", mode="grep", max_files=300)
+
+
+@query(
+    f"""WITH {_TEXTS} SELECT path, line_number, CAST(strlen(string_split(lower(line), 'index')[1]) + 1 AS INTEGER) AS "column", line FROM lines
+WHERE contains(lower(line), 'index') AND strlen(text) <= 2097152 AND NOT starts_with(path, '/docs/mail/') AND NOT (regexp_matches(path, '^/docs/wiki/doc_[^/]*1\\.txt$') AND NOT regexp_matches(path, '11\\.txt$'))"""
+)
+def grep_ignored(spark: SparkSession, d: str) -> DataFrame:
+    """Ignore files of two directories, one with an exception."""
+    rules = [("/docs/.gitignore", "mail/\n"), ("/docs/wiki/.ignore", "doc_*1.txt\n!*11.txt\n")]
+    return content.search(tables.texts(spark, d), "index", ignore=rules)
 
 
 @query(f"WITH {_TEXTS} SELECT path, line_number, 7 AS \"column\", line FROM lines")
@@ -416,6 +459,69 @@ def largest_files(spark: SparkSession, d: str) -> DataFrame:
     return grouping.largest(_fx(spark, d), 100)
 
 
+# --- the engine's views and its stored index ----------------------------------------------------
+def _engine(spark: SparkSession, d: str) -> Engine:
+    return Engine(spark, tables.files(spark, d), texts=tables.texts(spark, d))
+
+
+@query(f"WITH {q.FILES} SELECT path, size FROM fx WHERE {_ext} IN ('toml', 'c') AND {_under} ORDER BY size DESC, path LIMIT 50")
+def view_large_scoped(spark: SparkSession, d: str) -> DataFrame:
+    return _engine(spark, d).search("ext:toml,c", view="large", scope=SCOPE, limit=50, now=0)
+
+
+@query(
+    f"""WITH {q.FILES}, ranked AS (SELECT *, CAST(row_number() OVER (ORDER BY mtime DESC, depth, path) AS INTEGER) AS rank FROM fx WHERE name_lc = 'layout.toml' AND size > 100 QUALIFY rank <= 20)
+SELECT rank, path, name, CAST(1.0 AS DOUBLE) AS score, size, mtime FROM ranked"""
+)
+def view_exact_first(spark: SparkSession, d: str) -> DataFrame:
+    return _six(_engine(spark, d).search("layout.toml size:>100", exact_first=True, limit=20, now=0))
+
+
+@query(f"WITH {q.FILES}, {q.search('module', 50, where=_ext + chr(61) + q.quote('toml'), scope=SCOPE)}")
+def view_boosted(spark: SparkSession, d: str) -> DataFrame:
+    """A place that boosts without filtering."""
+    return _six(_engine(spark, d).search("module ext:toml", boost=SCOPE, limit=50, now=0))
+
+
+@query(
+    f"""WITH {q.FILES}, s AS (SELECT CAST(sum(strlen(path) + strlen(name)) AS BIGINT) AS arena_bytes FROM fx), {_GRAMS.split(", b AS", 1)[1].join(("b AS", ""))},
+i AS (SELECT CAST(count(*) * 4 + count(DISTINCT trigram) * 4 AS BIGINT) AS index_bytes FROM g) SELECT arena_bytes, index_bytes, round(index_bytes / arena_bytes, 6) AS index_ratio FROM s, i"""
+)
+def index_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return index.index_sizes(tables.files(spark, d).where("name <> ''"))
+
+
+@query(f"WITH {q.FILES}, {q.search('notes.', 50)}")
+def stored_search(spark: SparkSession, d: str) -> DataFrame:
+    """Save the index, open it again and search what is stored."""
+    folder = shared_folder(spark, "index")
+    Engine(spark, tables.files(spark, d), config=Config(index_path=folder)).save()
+    return _six(Engine.open(spark, Config(index_path=folder)).search("notes.", limit=50, now=0))
+
+
+@query(f"WITH {q.FILES} SELECT name || CASE WHEN is_dir THEN '/' ELSE '' END AS entry FROM fx WHERE {q.parent('path')} = (SELECT min({q.parent('path')}) FROM fx) GROUP BY 1 ORDER BY 1 LIMIT 5")
+def directory_entries(spark: SparkSession, d: str) -> DataFrame:
+    from pathloom.functions.paths import parent
+
+    fx = _fx(spark, d)
+    return grouping.directory_listing(fx, fx.agg(F.min(parent(F.col("path")))).first()[0] or "/", limit=5)
+
+
+@query(f"WITH {_TEXTS}, longest AS (SELECT path FROM lines GROUP BY 1 ORDER BY count(*) DESC, path LIMIT 1) SELECT line_number, line AS raw FROM lines JOIN longest USING (path) WHERE line_number <= 50")
+def file_preview_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The first 50 lines of the text with the most, before they are made printable."""
+    rows = content.lines(tables.texts(spark, d).where(~F.contains("text", F.lit("\0"))))
+    top = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "path").first()
+    shown = grouping.file_preview(rows, top.path if top else "", 50).select("line_number")
+    return rows.where(F.col("path") == (top.path if top else "")).join(shown, "line_number").select("line_number", F.col("line").alias("raw"))
+
+
+@query("SELECT view_name || '.parquet' AS name FROM duckdb_views() WHERE NOT internal")
+def fs_walk(spark: SparkSession, d: str) -> DataFrame:
+    """The folder of the tables itself, walked."""
+    return fswalk.scan(spark, [d], [], False).where("name like '%.parquet' and name not like 'part-%'").select("name")
+
+
 # --- changes ------------------------------------------------------------------------------------
 _SEQ = "CAST(journal_epoch AS BIGINT) * 1099511627776 + seq"
 _ONCE = "once AS (SELECT * FROM index_updates WHERE kind IS NOT NULL QUALIFY row_number() OVER (PARTITION BY journal_epoch, seq ORDER BY arrived_at DESC) = 1)"
@@ -485,10 +591,51 @@ def journal_fold_exact(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH {_ONCE}, r AS (SELECT path, max({_SEQ}) AS update_seq FROM once WHERE kind <> 'Delete' AND path IS NOT NULL GROUP BY 1)
-SELECT path, update_seq FROM r ORDER BY update_seq DESC LIMIT 4096"""
+SELECT path, update_seq FROM r ORDER BY update_seq DESC LIMIT 64"""
 )
 def recency_ring(spark: SparkSession, d: str) -> DataFrame:
-    return changes.recency(tables.updates(spark, d))
+    return changes.recency(tables.updates(spark, d), ring=64)
+
+
+@query(
+    f"""WITH {_ONCE}, touches AS (
+  SELECT from_path AS path, {_SEQ} AS seq, 0 AS sub, false AS writes, NULL AS size, NULL AS mtime FROM once WHERE kind = 'Move'
+  UNION ALL SELECT path, {_SEQ}, 0, false, NULL, NULL FROM once WHERE kind = 'Delete'
+  UNION ALL SELECT path, {_SEQ}, 1, true, size, mtime FROM once WHERE kind <> 'Delete' AND path IS NOT NULL),
+last AS (SELECT * FROM touches WHERE path IS NOT NULL QUALIFY row_number() OVER (PARTITION BY path ORDER BY seq DESC, sub DESC) = 1)
+SELECT path, size, mtime, seq AS update_seq FROM last WHERE writes"""
+)
+def journal_fold_paths(spark: SparkSession, d: str) -> DataFrame:
+    """The exact fold without inode identity, where SQL can follow it."""
+    files = tables.files(spark, d).where("false")
+    return changes.fold(files, tables.updates(spark, d), F.lit("all"), inode_identity=False).select("path", "size", "mtime", "update_seq")
+
+
+@query(
+    f"""WITH {_ONCE}, touches AS (
+  SELECT from_path AS path, {_SEQ} AS seq, 0 AS sub, false AS writes, NULL AS size, NULL AS mtime FROM once WHERE kind = 'Move'
+  UNION ALL SELECT path, {_SEQ}, 0, false, NULL, NULL FROM once WHERE kind = 'Delete'
+  UNION ALL SELECT path, {_SEQ}, 1, true, size, mtime FROM once WHERE kind <> 'Delete' AND path IS NOT NULL),
+last AS (SELECT * FROM touches WHERE path IS NOT NULL QUALIFY row_number() OVER (PARTITION BY path ORDER BY seq DESC, sub DESC) = 1)
+SELECT path, size, mtime FROM last WHERE writes"""
+)
+def stream_apply(spark: SparkSession, d: str) -> DataFrame:
+    """The updates as a stream of three files into the store, whatever order they come in."""
+    folder = shared_folder(spark, "stream")
+    tables.updates(spark, d).repartition(3).write.json(f"{folder}/journal")
+    store = SnapshotStore(f"{folder}/store")
+    store.save(tables.files(spark, d).where("false").drop("file_id"))
+    stream = apply_to_store(journal_stream(spark, f"{folder}/journal", files_per_trigger=1), store, f"{folder}/checkpoint")
+    stream.trigger(availableNow=True).start().awaitTermination()
+    return store.load(spark).select("path", "size", "mtime")
+
+
+@query("WITH a AS (SELECT DISTINCT name AS item FROM arena_names), b AS (SELECT DISTINCT name AS item FROM search_results WHERE name IS NOT NULL), k AS (SELECT item, 0 AS side FROM a UNION ALL SELECT item, 1 FROM b WHERE item NOT IN (SELECT item FROM a)) SELECT item, row_number() OVER (ORDER BY side, item) AS position FROM k")
+def ordered_union(spark: SparkSession, d: str) -> DataFrame:
+    """Registered names in order, then those that only hits have."""
+    own = table(spark, d, "arena_names").select(F.col("name").alias("item"), F.col("name").alias("at"))
+    seen = table(spark, d, "search_results").where("name is not null").select(F.col("name").alias("item"), F.col("name").alias("at"))
+    return changes.ordered_union(own, seen, "item", "at")
 
 
 # --- evaluation ---------------------------------------------------------------------------------
@@ -551,6 +698,15 @@ def eval_diversity(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.diversity(_eval(spark, d)[0])
 
 
+@query(
+    """WITH s AS (SELECT CAST(floor(value * 1000) AS BIGINT) AS us, user_id % 11 <> 0 AS ok FROM events), l AS (SELECT list_sort(list(us)) AS v, count(*) AS ok_runs FROM s WHERE ok)
+SELECT ok_runs, v[CAST(floor(0.5 * (len(v) - 1) + 0.5) AS BIGINT) + 1] AS p50_us, v[CAST(floor(0.99 * (len(v) - 1) + 0.5) AS BIGINT) + 1] AS p99_us FROM l"""
+)
+def latency_of_all(spark: SparkSession, d: str) -> DataFrame:
+    samples = table(spark, d, "events").select(F.floor(F.col("value") * 1000).alias("elapsed_us"), (F.col("user_id") % 11 != 0).alias("ok"))
+    return evaluation.latency_summary(samples).select("ok_runs", "p50_us", "p99_us")
+
+
 @query(
     """WITH s AS (SELECT event_type AS view, CAST(floor(value * 1000) AS BIGINT) AS us, user_id % 11 <> 0 AS ok FROM events),
 l AS (SELECT view, list_sort(list(us)) AS v, count(*) AS ok_runs, min(us) AS min_us, max(us) AS max_us, sum(us) AS total FROM s WHERE ok GROUP BY 1),

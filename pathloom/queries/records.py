@@ -54,6 +54,11 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p3_change_counts(spark: SparkSession, d: str) -> DataFrame:
+    """How many paths each snapshot added, removed and changed."""
+    return p3_found(spark, d).groupBy("snapshot_id", "change_kind").agg(F.count(F.lit(1)).alias("paths"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return apply_changes(table(spark, d, "index_updates")).select("path", "journal_epoch", "seq")
 
@@ -63,7 +68,7 @@ def p4_state(spark: SparkSession, d: str) -> DataFrame:
     return apply_changes(table(spark, d, "index_updates"), payload=METADATA)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_query_totals, p3_found, p4_found, p4_state)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_query_totals, p3_found, p3_change_counts, p4_found, p4_state)}
 
 _COUNTING = """counting AS (
   SELECT * FROM file_meta WHERE path_len <> 0 AND path_offset IS NOT NULL
@@ -104,6 +109,7 @@ SELECT h.query_id, CAST(count(*) AS DECIMAL(38,0)) AS pairs,
   CAST(coalesce(sum(f.size), 0) AS DECIMAL(38,0)) AS file_bytes, CAST(coalesce(sum(h.size), 0) AS DECIMAL(38,0)) AS hit_bytes
 FROM files f JOIN arena_names a USING (name_offset) JOIN hits h ON h.name = a.name GROUP BY 1""",
     "p3_found": _CHANGES + "SELECT * FROM changes WHERE change_kind IS NOT NULL",
+    "p3_change_counts": _CHANGES + "SELECT snapshot_id, change_kind, count(*) AS paths FROM changes WHERE change_kind IS NOT NULL GROUP BY 1, 2",
     "p4_found": _STATE + "SELECT path, journal_epoch, seq FROM last WHERE writes",
     "p4_state": _STATE + "SELECT path, journal_epoch, seq, name, size, mtime, dev, ino FROM last WHERE writes",
 }

@@ -100,8 +100,13 @@ def component_score(q: str) -> str:
     return f"CASE WHEN regexp_matches(initials, {_re(q)}) THEN least(CAST(0.95 AS DOUBLE) + {_adjacent('initials', q)} + CAST(0.05 AS DOUBLE) * {len(q)}.0 / length(initials), CAST(0.99 AS DOUBLE)) END"
 
 
-def camel_score(q: str) -> str:
-    return f"CASE WHEN regexp_matches(mask, {_re(q)}) THEN least(CAST(0.90 AS DOUBLE) + {_adjacent('mask', q)}, CAST(0.96 AS DOUBLE)) END"
+def camel_score(q: str, given: str = "") -> str:
+    """With ``given`` in capitals, 0.05 where every character lies on a capital of the path."""
+    bonus = ""
+    if given and given.isupper() and given.isalpha():
+        at = [" + ".join([_skip("mask", q, j) for j in range(k + 1)] + [str(k + 1)]) for k in range(len(q))]
+        bonus = " + CASE WHEN " + " AND ".join(f"lower(path[{a}]) <> path[{a}]" for a in at) + " THEN CAST(0.05 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END"
+    return f"CASE WHEN regexp_matches(mask, {_re(q)}) THEN least(CAST(0.90 AS DOUBLE) + {_adjacent('mask', q)}{bonus}, CAST(0.96 AS DOUBLE)) END"
 
 
 def sequential_score(q: str) -> str:

@@ -11,7 +11,7 @@ import fnmatch
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -122,6 +122,26 @@ def is_ignored(path: str, is_dir: bool, root: str, cache: dict[str, list[Rule]]
     return ignored
 
 
+class _Known(dict):
+    """Rules by directory; a directory without any has none."""
+
+    def __contains__(self, directory: object) -> bool:
+        return True
+
+    def __missing__(self, directory: str) -> list[Rule]:
+        return []
+
+
+def ignores(files: list[tuple[str, str]]) -> Callable[[str], bool]:
+    """Whether the rules of ignore files, given as (path, text), exclude a file's path; no disk is read."""
+    known = _Known()
+    order = {name: k for k, name in enumerate(IGNORE_FILES)}
+    for path, text in sorted(files, key=lambda f: order.get(f[0].rsplit("/", 1)[-1], 0)):
+        directory = os.path.dirname(path)
+        known[directory] = known[directory] + parse_rules(text)
+    return lambda path: is_ignored(path, False, "/", known)
+
+
 @dataclass
 class Subtree(InputPartition):
     root: str
@@ -209,15 +229,7 @@ def scan(spark: SparkSession, roots: list[str], exclusions: list[str] | None = N
 
 
 def with_file_ids(files: DataFrame) -> DataFrame:
-    """Dense ids in path order, without gathering the table: a place in a range of paths plus the rows of the ranges before it."""
-    from pathloom.session import durable
-
-    n = max(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    placed = durable(files.repartitionByRange(n, "path").withColumn("__pid", F.spark_partition_id()))
-    from pyspark.sql import Window as W
-
-    sizes = placed.groupBy("__pid").agg(F.count(F.lit(1)).alias("n"))
-    ahead = sizes.select(F.col("__pid").alias("__q"), F.coalesce(F.sum("n").over(W.orderBy("__pid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__ahead"))
-    local = placed.withColumn("__at", F.row_number().over(W.partitionBy("__pid").orderBy("path")) - 1)
-    joined = local.join(F.broadcast(ahead), F.col("__pid") == F.col("__q"))
-    return joined.select((F.col("__at") + F.col("__ahead")).alias("file_id"), *files.columns)
+    """Dense ids in path order, without gathering the table."""
+    from pathloom.operators.ordering import numbered
+
+    return numbered(files, "path", at="__at").select((F.col("__at") - 1).alias("file_id"), *files.columns)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.operators.snapshots import live_files
@@ -44,11 +44,20 @@ def usage_events(spark: SparkSession, d: str) -> DataFrame:
     return ev.join(paths, "part").select("path", "query", "action", "ts", "seq")
 
 
+def _text_path() -> Column:
+    return F.concat(F.lit("/docs/"), F.coalesce(F.trim(F.split("source", "/")[0]), F.lit("none")), F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".txt"))
+
+
 def texts(spark: SparkSession, d: str) -> DataFrame:
     """Documents as text files."""
-    doc = table(spark, d, "documents").where("text is not null")
-    path = F.concat(F.lit("/docs/"), F.coalesce(F.trim(F.split("source", "/")[0]), F.lit("none")), F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".txt"))
-    return doc.select(path.alias("path"), "text")
+    return table(spark, d, "documents").where("text is not null").select(_text_path().alias("path"), "text")
+
+
+def text_files(spark: SparkSession, d: str) -> DataFrame:
+    """The text files' paths with size in bytes and time of creation, 0 where it isn't known."""
+    made = F.unix_timestamp(F.col("created_at").cast("timestamp"))
+    doc = table(spark, d, "documents").where("text is not null").select(_text_path().alias("path"), F.octet_length("text").cast("bigint").alias("size"), F.coalesce(made, F.lit(0)).cast("bigint").alias("mtime"))
+    return doc
 
 
 def updates(spark: SparkSession, d: str) -> DataFrame:

@@ -251,3 +251,14 @@ def test_query_and_result_files(spark, tmp_path):
     assert "1970-01-01 00:00" in spark.read.text(str(tmp_path / "table")).first().value
     with pytest.raises(ValueError):
         write_results(results, str(tmp_path / "z"), "xml")
+
+
+def test_content_scope_ignore_files_and_bounds(spark):
+    texts = spark.createDataFrame([("/w/a.rs", "x needle"), ("/w/sub/b.rs", "needle"), ("/w/sub/keep.log", "needle"), ("/w/sub/c.log", "needle"), ("/w-x/d.rs", "needle"), ("/w/.hid/e.rs", "needle"), (None, "needle")], "path string, text string")
+    got = lambda **o: [r.path for r in content.search(texts, "needle", **o).orderBy("path").collect()]
+    rules = [("/w/.gitignore", "*.log\nsub/b.rs\n"), ("/w/sub/.ignore", "!keep.log\n"), ("/w/other.txt", "*.rs\n")]
+    assert got(scope="/w/") == ["/w/a.rs", "/w/sub/b.rs", "/w/sub/c.log", "/w/sub/keep.log"]
+    assert got(scope="/w", ignore=rules) == ["/w/a.rs", "/w/sub/keep.log"]
+    assert got(scope="/w/.hid") == ["/w/.hid/e.rs"]  # a hidden folder that is asked for
+    assert got(mode="grep", max_files=2, scope="/w") == ["/w/.hid/e.rs", "/w/a.rs"]
+    assert got(scope="/w/a.rs") == ["/w/a.rs"] and got(max_bytes=6) == ["/w-x/d.rs", "/w/sub/b.rs", "/w/sub/c.log", "/w/sub/keep.log"]

@@ -108,17 +108,19 @@ def test_unicode_and_regex_characters(spark):
     assert found(search(fx, Request("[b]*"))) == ["/x/a[b]*c"]
 
 
-def test_search_many_is_many_searches(spark):
+@pytest.mark.parametrize("at_once", [0, 1_000])
+def test_search_many_is_many_searches(spark, at_once):
     fx = files_of(spark, *[(f"/d{k % 3}/report_{k}.txt", None, k) for k in range(60)])
     asked = spark.createDataFrame([(1, "Report_1", 5), (1, "Report_1", 5), (2, "x", 3), (3, "nothing", 9), (4, None, 5), (5, "d2/", 4), (6, "port", 0), (7, "", 3)], "query_id bigint, term string, n int")
-    many = search_many(fx, asked, query_id="query_id", term="term", limit="n").collect()
+    many = search_many(fx, asked, query_id="query_id", term="term", limit="n", at_once=at_once).collect()
     for q, t, n in ((1, "report_1", 5), (2, "x", 3), (5, "d2/", 4)):
         single = found(search(fx.where(F.contains("name_lc", F.lit(t)) | F.contains("path_lc", F.lit(t))), Request(t, n)))
         assert [r.path for r in sorted((r for r in many if r.query_id == q), key=lambda r: r.rank)] == single
     assert {r.query_id for r in many} == {1, 2, 5}
 
 
-def test_search_many_answers_whole_requests(spark):
+@pytest.mark.parametrize("at_once", [0, 1_000])
+def test_search_many_answers_whole_requests(spark, at_once):
     """Scopes, boosts and abbreviations: each answer is that of one unfiltered search."""
     paths_ = [f"/repo{'-a' * (k % 2)}/{d}/{n}" for k in range(6) for d, n in (("src", f"main_{k}.rs"), (f"Module{k}/Inner", "Query Plan.md"), ("t/ü", f"mn{k}"), ("lib/target", "maintain"))]
     fx = files_of(spark, *[(p, "alias mn" if k % 7 == 0 else None, k % 5) for k, p in enumerate(dict.fromkeys(paths_))]).cache()
@@ -126,7 +128,7 @@ def test_search_many_answers_whole_requests(spark):
     terms = ["mn", "MAIN", "rsm", "qp", "main_", "ü", "alias", "m 3", "zq", "q'"]
     asked = [(1 + k, t, 1 + 7 * k % 23, scopes[k % 8], scopes[k * 3 // 8 % 8]) for k, t in enumerate(terms * 4)]
     table_ = spark.createDataFrame([*asked, asked[0]], "query_id bigint, term string, n int, f string, b string")
-    many = search_many(fx, table_, query_id="query_id", term="term", limit="n", filter_scope="f", boost_scope="b").collect()
+    many = search_many(fx, table_, query_id="query_id", term="term", limit="n", filter_scope="f", boost_scope="b", at_once=at_once).collect()
     got: dict = {}
     for r in sorted(many, key=lambda r: (r.query_id, r.rank)):
         got.setdefault(r.query_id, []).append((r.rank, r.path, r.score))
@@ -210,3 +212,46 @@ def test_search_plan_prunes_and_pushes(spark, tmp_path):
     scoped = search(fx, Request("b.rs", filter_scope="/a"))
     text = scoped._jdf.queryExecution().toString()
     assert "TakeOrderedAndProject" in text and "ArrowEval" not in text and "StringStartsWith(path,/a/)" in text
+
+
+def test_capitals_earn_a_bonus_and_case_may_matter(spark):
+    df = ranking.with_case_columns(ranking.with_abbreviation_columns(spark.createDataFrame([("/x/MyClass", "MyClass"), ("/x/my_Class", "my_Class"), ("src/main.rs", "main.rs")], "path string, name string")))
+    scores = lambda q, cs=False: [r.s and round(r.s, 6) for r in df.select(ranking.abbreviation(q, cs)["score"].alias("s")).collect()]
+    assert scores("MC") == [0.95, 0.99, None] and scores("mc") == [0.9, 0.99, None]
+    assert scores("MAIN", True) == [None, None, None] and scores("main", True) == [None, None, 1.0] and scores("MC", True)[:2] == [0.95, None]
+
+
+def test_bounds_change_what_is_found(spark):
+    from pathloom.queries import files as named
+    from tests.conftest import DATA
+
+    fx = index.build(named.tables.files(spark, DATA)).cache()
+    paths_of = lambda **o: found(search(fx, Request(**o)))
+    assert paths_of(term="layout", limit=20, mode="indexed", candidate_cap=5) != paths_of(term="layout", limit=20, mode="indexed")
+    free = paths_of(term="1", limit=1_000)
+    assert len(free) > len(paths_of(term="1", limit=1_000, scan_bounds=(50, 40, 20)))
+    assert paths_of(term="1", limit=3, scan_bounds=(5_000, 10, 200)) != free[:3]
+    first = fx.where(F.contains("path_lc", F.lit("a."))).agg(F.min("file_id")).first()[0]
+    if first is not None:
+        before = fx.where(F.col("file_id") < first).count()
+        assert paths_of(term="a.", limit=20, scan_bounds=(5_000, 5_000, before)) == [] != paths_of(term="a.", limit=20, scan_bounds=(5_000, 5_000, before + 1))
+    recent_ = lambda ring: found(grouping_touched(fx, ring))
+    assert recent_(3) != recent_(4_096)
+
+
+def grouping_touched(fx, ring):
+    from pathloom.operators.search import touched
+
+    # the touched files are the oldest, so that a ring decides which of them are shown
+    return touched(fx, fx.select("file_id", (-F.col("mtime")).alias("update_seq")), 10, ring=ring)
+
+
+def test_numbered(spark):
+    from pathloom.operators.ordering import numbered, running_sum
+
+    df = spark.range(500).select((F.col("id") * 37 % 500).alias("k"), F.lit("x").alias("position"))
+    got = numbered(df.drop("position"), "k").collect()
+    assert sorted((r.k, r.position) for r in got) == [(k, k + 1) for k in range(500)]
+    sums = {r.k: r.s for r in running_sum(df, F.col("k"), F.desc("k"), at="s").collect()}
+    assert sums[499] == 499 and sums[0] == 499 * 500 / 2
+    assert numbered(df.where("false"), "k", at="n").count() == 0
