@@ -118,8 +118,8 @@ def _text(c: str) -> str:
     return "'" + c.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _walk(text: str, q: str, score: str, capitals: str | None = None) -> Column:
-    """``score`` (SQL over ``w``) of the greedy leftmost walk of the characters of ``q`` through a column; null where it breaks off.
+def _walk(text: str, q: str, score: str, capitals: str | None = None) -> str:
+    """SQL of ``score`` (SQL over ``w``) of the greedy leftmost walk of the characters of ``q`` through a column; null where it breaks off.
 
     ``w`` has the 1-based ``first`` and ``last`` positions, ``total``, the sum of 0-based ones, and ``pairs``, the number of
     adjacent ones, and ``caps``, whether the column ``capitals`` has capitals at all of them. Arrays of one name a value, so
@@ -131,27 +131,39 @@ def _walk(text: str, q: str, score: str, capitals: str | None = None) -> Column:
         f"'pairs', w.pairs + if(w.last > 0 and at = w.last + 1, 1, 0), 'ok', w.ok and at > 0, 'caps', {caps}))[0]"
     )
     start = f"named_struct('last', 0, 'first', 0, 'total', 0, 'pairs', 0, 'ok', true, 'caps', {'true' if capitals else 'false'})"
-    return F.expr(f"transform(array(aggregate(array({', '.join(map(_text, q))}), {start}, {step})), w -> case when w.ok then {score} end)[0]")
+    return f"transform(array(aggregate(array({', '.join(map(_text, q))}), {start}, {step})), w -> case when w.ok then {score} end)[0]"
 
 
 def is_subsequence(text_lc: Column, q: str) -> Column:
     return text_lc.rlike(_pattern(q))
 
 
+def _component(initials: str, q: str) -> str:
+    return _walk(initials, q, f"least(0.95D + w.pairs / {len(q)}D * 0.05D + {0.05 * len(q)!r}D / char_length({initials}), 0.99D)")
+
+
+def _camel(mask: str, q: str, capitals: str | None = None) -> str:
+    return _walk(mask, q, f"least(0.90D + w.pairs / {len(q)}D * 0.05D + if(w.caps, 0.05D, 0D), 0.96D)", capitals)
+
+
+def _sequential(path_lc: str, q: str) -> str:
+    n, length = len(q), f"char_length({path_lc})"
+    return _walk(path_lc, q, f"least(greatest(0.70D + w.pairs / {n}D * 0.05D + w.total / {n}D / {length} * 0.10D - (w.last - w.first + 1 - {n}) / {length} * 0.10D, 0.50D), 0.88D)")
+
+
 def component_score(initials: str, q: str) -> Column:
     """Initials of tokens (a column's name) in order: 0.95 and more, at most 0.99; null without a match."""
-    return _walk(initials, q, f"least(0.95D + w.pairs / {len(q)}D * 0.05D + {0.05 * len(q)!r}D / char_length({initials}), 0.99D)")
+    return F.expr(_component(initials, q))
 
 
 def camel_score(mask: str, q: str, capitals: str | None = None) -> Column:
     """Capitals and word starts in order: 0.90 and more, at most 0.96; 0.05 of it where every character met a capital of the column ``capitals``."""
-    return _walk(mask, q, f"least(0.90D + w.pairs / {len(q)}D * 0.05D + if(w.caps, 0.05D, 0D), 0.96D)", capitals)
+    return F.expr(_camel(mask, q, capitals))
 
 
 def sequential_score(path_lc: str, q: str) -> Column:
     """Characters in order with gaps: 0.70, more near the end and less for gaps, within 0.50 and 0.88."""
-    n, length = len(q), f"char_length({path_lc})"
-    return _walk(path_lc, q, f"least(greatest(0.70D + w.pairs / {n}D * 0.05D + w.total / {n}D / {length} * 0.10D - (w.last - w.first + 1 - {n}) / {length} * 0.10D, 0.50D), 0.88D)")
+    return F.expr(_sequential(path_lc, q))
 
 
 def prefix_score(name: Column, path: Column, q: str, fold: bool = True) -> Column:
@@ -201,13 +213,32 @@ def with_case_columns(df: DataFrame) -> DataFrame:
     return df.withColumns({"initials_cs": token_initials(F.col("path"), fold=False), "mask_cs": _boundaries(F.col("path"))})
 
 
-def search_abbreviation_score(q: str) -> Column:
-    """The best abbreviation score of a path that doesn't contain the query, null without a match.
+def match_score(q: str) -> Column:
+    """The score of a row of a searchable table for a lower-case term, null without a match: :func:`name_score` where name or path contain it, else, unless it is literal, the best abbreviation.
 
-    There the strategies exclude each other from above: initials reach 0.95, capitals stay below it, sequences end at
-    0.88, so the first that matches is the best. All of them imply :func:`is_subsequence` of ``path_lc``, which implies the last.
+    One SQL text, since a search on a small table takes longer to build from single expressions than to run. Of a path
+    that doesn't contain the term the strategies exclude each other from above: initials reach 0.95, capitals stay below
+    it, sequences end at 0.88, so the first that matches is the best. All of them imply a subsequence of ``path_lc``.
     """
-    return F.coalesce(component_score("initials", q), camel_score("mask", q), sequential_score("path_lc", q))
+    t, real = _text(q), lambda x: f"cast({x} as float)"
+    ratio = real(f"{real(f'octet_length({t})')} / {real('octet_length(name_lc)')}")
+    prefix = real(f"{real(f'{ratio} * {real(0.09)}')} + {real(0.9)}")
+    name = (
+        f"case when name_lc = {t} then {real(1.0)} when startswith(name_lc, {t}) then if(octet_length(name_lc) > 0, {prefix}, {real(0.9)}) "
+        f"when contains(name_lc, concat(' ', {t})) or contains(name_lc, concat('_', {t})) then {real(0.7)} when contains(name_lc, {t}) then {real(0.5)} else {real(0.3)} end"
+    )
+    text = f"contains(name_lc, {t}) or contains(path_lc, {t})"
+    if is_literal(q) or not q:
+        return F.expr(f"case when {text} then {name} end")
+    loose = f"coalesce({_component('initials', q)}, {_camel('mask', q)}, {_sequential('path_lc', q)})"
+    return F.expr(f"case when {text} then {name} when path_lc rlike {_text(_pattern(q))} then {real(loose)} end")
+
+
+def is_match(q: str) -> Column:
+    """Whether :func:`match_score` isn't null."""
+    t = _text(q)
+    text = f"contains(name_lc, {t}) or contains(path_lc, {t})"
+    return F.expr(text if is_literal(q) or not q else f"{text} or path_lc rlike {_text(_pattern(q))}")
 
 
 # --- frecency ------------------------------------------------------------------------------------

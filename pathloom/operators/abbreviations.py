@@ -52,7 +52,7 @@ class Terms:
         return k[ok], np.array(made, dtype=np.int64).reshape(len(made), len(k))[:, ok]
 
     def scores(self, path_lc: str, initials: str, mask: str) -> tuple[np.ndarray, np.ndarray]:
-        """Terms in order in ``path_lc`` with :func:`~pathloom.functions.ranking.search_abbreviation_score`, step by step the same."""
+        """Terms in order in ``path_lc`` with :func:`~pathloom.functions.ranking.match_score`, where the path lacks the term, step by step the same."""
         k, pos = self.walk(path_lc)
         if not len(k):
             return k, np.zeros(0)

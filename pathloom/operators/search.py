@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from pathloom.functions.paths import in_subtree, scope_column, scope_of
-from pathloom.functions.ranking import LITERAL, frecency, is_exact_name, is_literal, is_subsequence, matches_text, name_score, scope_boost, search_abbreviation_score, usage_boost
+from pathloom.functions.ranking import LITERAL, frecency, is_exact_name, is_literal, is_match, match_score, matches_text, name_score, scope_boost, usage_boost
 from pathloom.operators.abbreviations import abbreviated, containing
 from pathloom.operators.index import has_trigrams
 from pathloom.plans import dsl
@@ -82,15 +82,10 @@ def scoped(files: DataFrame, req: Request) -> DataFrame:
 
 def _scored(files: DataFrame, req: Request) -> DataFrame:
     q = req.term.lower()
-    name, path = F.col("name_lc"), F.col("path_lc")
-    text = matches_text(name, path, q)
-    score = name_score(name, q)
-    if is_literal(q) or not q:
-        hits = files.where(text).withColumn("score", score)
-    else:
-        # the filter says where there is a score, so that scores are made once and only there
-        hits = files.where(text | is_subsequence(path, q)).withColumn("score", F.when(text, score).otherwise(search_abbreviation_score(q).cast("float")))
-    return hits.withColumn("place", F.col("context") + scope_boost(F.col("path"), F.col("depth"), scope_of(req.boost_scope, req.cwd)))
+    # the filter says where there is a score, so that scores are made once and only there
+    hits = files.where(is_match(q)).withColumn("score", match_score(q))
+    scope = scope_of(req.boost_scope, req.cwd)
+    return hits.withColumn("place", F.col("context") if scope is None else F.col("context") + scope_boost(F.col("path"), F.col("depth"), scope))
 
 
 def _scan_bounded(files: DataFrame, req: Request) -> DataFrame:
