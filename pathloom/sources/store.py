@@ -113,14 +113,12 @@ class UsageStore:
         """No file: no events. A file with a malformed line is renamed ``*.corrupt.<ns>`` and refused."""
         if not self.path.exists():
             return spark.createDataFrame([], USAGE_EVENTS)
-        try:
-            with self.path.open(encoding="utf-8") as f:
-                for line in f:
-                    json.loads(line)
-        except ValueError as e:
+        # the executors read the file; one malformed line is enough
+        parsed = F.from_json("value", f"{USAGE_EVENTS}, malformed string", {"columnNameOfCorruptRecord": "malformed"})
+        if not spark.read.text(str(self.path)).where(parsed["malformed"].isNotNull() | (F.trim("value") == "")).isEmpty():
             aside = self.path.with_name(f"{self.path.name}.corrupt.{time.time_ns()}")
             self.path.rename(aside)
-            raise ValueError(f"unreadable usage file, set aside as {aside}") from e
+            raise ValueError(f"unreadable usage file, set aside as {aside}")
         return spark.read.schema(USAGE_EVENTS).json(str(self.path))
 
     def save(self, events: list[dict]) -> None:
