@@ -485,24 +485,40 @@ def fit_prose(blocks_: DataFrame, level: float = LEVEL) -> dict[str, Fit]:
     return fits
 
 
-def plain_statistics(text: Column, words: Mapping[str, Sequence[str]]) -> list[Column]:
-    """Statistics of the text as it stands, by built-in functions: characters, words, letters a word, shares of symbols, of lines that end in punctuation, and of common words.
+#: The plain statistics of a text, fields of :func:`plain_statistics`.
+PLAIN = ("text_chars", "words", "mean_word_length", "symbol_ratio", "stop_line_share", "common_word_share")
+
+
+def plain_statistics(text: Column, words: Mapping[str, Sequence[str]]) -> Column:
+    """A struct of ``PLAIN``, statistics of the text as it stands, by built-in functions: characters, words, letters a word, shares of symbols, of lines that end in punctuation, and of common words.
 
     A word is a run of letters. ``common_word_share`` is that of the language of ``words`` with the greatest.
     Shares of nothing are null, and so is everything of a null text.
     """
     count = lambda p: F.regexp_count(text, F.lit(p))
-    found = F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))
-    letters = F.aggregate(found, F.lit(0), lambda a, w: a + F.length(w))
-    among = lambda listed: F.size(F.filter(found, lambda w: w.isin(listed)))
-    known = F.greatest(F.lit(0), F.lit(0), *[among(v) for v in words.values()])
     per = lambda a, b: F.when(b > 0, F.round(a / b, 6))
-    n, lines, chars = F.size(found), count(r"[^ \t\r\f\n][^\n]*"), F.length(text)
-    some = text.isNotNull()
-    return [
-        chars.alias("text_chars"), F.when(some, n).alias("words"), F.when(some, per(letters, n)).alias("mean_word_length"), per(count(r"[^\p{L}\p{N} \t\r\f\n]"), chars).alias("symbol_ratio"),
-        per(count(r"""[.?!…]["'”»)\]]*[ \t\r\f]*(?:\n|\z)"""), lines).alias("stop_line_share"), F.when(some, per(known, n)).alias("common_word_share"),
-    ]
+    every = sorted(set().union(*words.values())) if words else []
+
+    def known(common: Column) -> Column:
+        among = lambda listed: F.size(F.filter(common, lambda w: w.isin(listed)))
+        return F.greatest(F.lit(0), F.lit(0), *[among(v) for v in words.values()])
+
+    def facts(found: Column) -> Column:
+        # texts are taken into words once, and only the common ones of them are looked at for each language
+        most = F.transform(F.array(F.filter(found, lambda w: w.isin(every)) if every else F.array().cast("array<string>")), known)[0]
+        return F.struct(F.size(found).alias("n"), F.aggregate(found, F.lit(0), lambda a, w: a + F.length(w)).alias("letters"), most.alias("known"))
+
+    def shown(f: Column) -> Column:
+        lines, chars = count(r"[^ \t\r\f\n][^\n]*"), F.length(text)
+        values = [
+            chars, f["n"], per(f["letters"], f["n"]), per(count(r"[^\p{L}\p{N} \t\r\f\n]"), chars),
+            per(count(r"""[.?!…]["'”»)\]]*[ \t\r\f]*(?:\n|\z)"""), lines), per(f["known"], f["n"]),
+        ]
+        return F.struct(*[v.alias(n) for v, n in zip(values, PLAIN)])
+
+    found = F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))
+    # arrays of one name a value, so that it is made once however often it is referred to
+    return F.when(text.isNotNull(), F.transform(F.transform(F.array(found), facts), shown)[0])
 
 
 def _measured(docs: DataFrame, common: DataFrame, key: str, text: str, lang: str, word_lang: str, word: str, carry=()) -> tuple[DataFrame, dict[str, Fit]]:
@@ -522,16 +538,14 @@ def text_quality(docs: DataFrame, common: DataFrame, *, key: str, text: str, lan
     texts are measured each; keys must be unique, and null keys are left out; other columns are ignored.
     """
     given = given_words(common, word_lang, word)
-    plain = plain_statistics(F.col(text), given)
-    names = docs.select(*plain).columns
-    rows, fits = _measured(docs, common, key, text, lang, word_lang, word, plain)
+    rows, fits = _measured(docs, common, key, text, lang, word_lang, word, [plain_statistics(F.col(text), given).alias("plain")])
     scored = rows.withColumn("c", _distances(fits, True)("language", "s", "u")) if fits else rows.withColumn("c", F.lit(None).cast("array<double>"))
     w = F.col("chars")
     d2 = F.aggregate("c", F.lit(0.0), lambda a, v: a + v)
     scored = scored.withColumns({"d2": d2, "w": w.cast("double")})
     mean = lambda c: F.when(F.sum("chars") > 0, F.sum(F.col("w") * c) / F.sum("w"))
     out = scored.groupBy(key).agg(
-        F.max_by("language", F.struct("w", "language")).alias("language"), F.sum("chars").alias("chars"), *[F.max(n).alias(n) for n in names],
+        F.max_by("language", F.struct("w", "language")).alias("language"), F.sum("chars").alias("chars"), *[F.max(f"plain.{n}").alias(n) for n in PLAIN],
         *[mean(F.col("s")[k]).alias(n) for k, n in enumerate(STATISTICS)], mean(F.col("d2")).alias("distance"), *[mean(F.col("c")[k]).alias(f"from_{n}") for k, n in enumerate(STATISTICS)],
         F.when(F.sum("chars") > 0, F.sum(F.when(F.col("d2") > cutoff(level), w).otherwise(0)) / F.sum("chars")).alias("outlying_share"),
     )

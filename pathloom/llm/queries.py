@@ -110,7 +110,7 @@ def p6_checks(spark: SparkSession, d: str) -> DataFrame:
 def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
     """The statistics of every whole text as it stands."""
     words = given_words(table(spark, d, "common_words"), "lang", "word")
-    return table(spark, d, "documents").select("doc_id", *plain_statistics(F.col("text"), words))
+    return table(spark, d, "documents").select("doc_id", plain_statistics(F.col("text"), words).alias("plain")).select("doc_id", "plain.*")
 
 
 def p8_outliers(spark: SparkSession, d: str) -> DataFrame:

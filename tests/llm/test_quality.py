@@ -181,7 +181,7 @@ def test_learned_words(spark):
 def test_plain_statistics(spark):
     text = "The cat sat.  It was 12 days!\n\n  - a <b>\nnaïve \u2026\" \n"
     df = docs_of(spark, [(1, text, "en"), (2, "", "en"), (3, None, "en"), (4, "\n \n", "en"), (5, "x" * 100_000, None)])
-    got = {r.doc_id: r for r in df.select("doc_id", *quality.plain_statistics(F.col("text"), {"en": ["the", "was", "a"], "de": ["it"]})).collect()}
+    got = {r.doc_id: r for r in df.select("doc_id", quality.plain_statistics(F.col("text"), {"en": ["the", "was", "a"], "de": ["it"]}).alias("p")).select("doc_id", "p.*").collect()}
     r = got[1]
     assert (r.text_chars, r.words, r.mean_word_length, r.common_word_share) == (len(text), 9, round((3 * 3 + 2 + 3 + 4 + 1 + 1 + 5) / 9, 6), round(3 / 9, 6))
     assert r.stop_line_share == round(2 / 3, 6) and r.symbol_ratio == round(7 / len(text), 6)
