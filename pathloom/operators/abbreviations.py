@@ -1,4 +1,4 @@
-"""Many terms at once: which of them a text contains, and which terms' characters lie in order in a path, and what that is worth."""
+"""Many terms at once: which terms' characters lie in order in a path, and what that is worth."""
 
 from __future__ import annotations
 
@@ -103,29 +103,3 @@ def abbreviated(terms: Sequence[str]):
                 )
 
     return rows
-
-
-def containing(terms: Sequence[str]):
-    """For ``mapInArrow`` over columns with ``name_lc`` and ``path_lc``: a row for each term that one of them contains, ``t`` before the columns."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        for k, t in enumerate(terms):
-            automaton.add_word(t, k)
-        automaton.make_automaton()
-        texts = pa.array(terms, pa.string())
-        for whole in batches:
-            for begin in range(0, whole.num_rows if terms else 0, 512):
-                batch = whole.slice(begin, 512)
-                own, which = [], []
-                for r, (name, path) in enumerate(zip(batch.column("name_lc").to_pylist(), batch.column("path_lc").to_pylist())):
-                    found = {k for _, k in automaton.iter(name)}
-                    found.update(k for _, k in automaton.iter(path))
-                    own += [r] * len(found)
-                    which += found
-                take = pa.array(own, pa.int64())
-                yield pa.RecordBatch.from_arrays([texts.take(pa.array(which, pa.int64())), *(c.take(take) for c in batch.columns)], ["t", *batch.schema.names])
-
-    return rows

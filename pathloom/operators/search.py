@@ -10,14 +10,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from pathloom.functions.paths import in_subtree, scope_column, scope_of
 from pathloom.functions.ranking import LITERAL, frecency, is_exact_name, is_literal, is_match, match_score, matches_text, name_score, scope_boost, usage_boost
-from pathloom.operators.abbreviations import abbreviated, containing
+from pathloom.operators.abbreviations import abbreviated
 from pathloom.operators.index import has_trigrams
+from pathloom.operators.requests import KEPT, best_of_blocks, fits
 from pathloom.plans import dsl
 from pathloom.session import broadcast_if_small
 
@@ -25,7 +27,7 @@ from pathloom.session import broadcast_if_small
 ORDER = (("score", "desc"), ("place", "desc"), ("mtime", "desc"), ("depth", "asc"), ("path", "asc"))
 EXACT_ORDER = (("mtime", "desc"), ("depth", "asc"), ("path", "asc"))
 RECENT_ORDER = (("mtime", "desc"), ("file_id", "asc"))
-#: Distinct terms that go to every task at once (a few dozen bytes each).
+#: Distinct requests that go to every task at once (a few dozen bytes each).
 AT_ONCE = 200_000
 #: Slices of a piece's files when many terms are answered at once.
 SLICES = 16
@@ -197,6 +199,17 @@ def _by_rarest_piece(slim: DataFrame, terms: DataFrame, sizes: Sequence[int]) ->
     return near.where(matches_text(F.col("name_lc"), F.col("path_lc"), F.col("t")))
 
 
+def _by_block(files: DataFrame, asked: DataFrame, every: pa.Table, abbreviations: bool) -> DataFrame:
+    """``(q, rank, path, score)`` for the requests ``asked``, whose distinct ones are ``every``; what leaves a block holds a request's best of it."""
+    held = files.select("name_lc", "path_lc", "path", F.col("mtime").cast("bigint").alias("mtime"), "depth", "context", *(("initials", "mask") if abbreviations else ()))
+    best = held.mapInArrow(best_of_blocks(every, abbreviations), KEPT).withColumn("rank", F.row_number().over(W.partitionBy("g").orderBy(*_order(ORDER))))
+    numbered = every.select(["t", "within", "near"]).append_column("g", pa.array(range(every.num_rows), pa.int32()))
+    of = asked.join(broadcast_if_small(files.sparkSession.createDataFrame(numbered)), ["t", "within", "near"]).select("q", "g", "n")
+    # the limit is a column, so no task sorts its rows before they move; each has few
+    answers = best.where(F.col("rank") <= F.col("most")).select("g", "rank", "path", "score").join(of, "g")
+    return answers.where(F.col("rank") <= F.col("n")).select("q", "rank", "path", "score")
+
+
 def search_many(
     files: DataFrame, queries: DataFrame, *, query_id: str, term: str, limit: str, filter_scope: str | None = None, boost_scope: str | None = None, cwd: str = "/", abbreviations: bool = True, at_once: int = AT_ONCE
 ) -> DataFrame:
@@ -205,33 +218,32 @@ def search_many(
     ``filter_scope`` and ``boost_scope`` name the columns of the scopes, if there are any; null and blank scopes are none.
     Without ``abbreviations`` terms are looked for as substrings only.
 
-    Equal terms are matched and scored once, equal (term, filter scope, boost scope) ranked once. Up to ``at_once`` distinct
-    terms go to the driver and from there to every task, which looks for all of them in each of its files in one pass, moving only
-    matches. More terms are met by an equi-join: a file is cut into pieces of three bytes (or as short as a term is), a
+    Equal terms are matched and scored once, equal (term, filter scope, boost scope) ranked once. Up to ``at_once`` of these distinct
+    requests go to the driver and from there to every task, which answers all of them over its own files, block by block, and
+    lets out no more than a request's limit of each block: matches themselves are neither moved nor sorted. More requests, or
+    limits beyond a block's memory, are met by an equi-join: a file is cut into pieces of three bytes (or as short as a term is), a
     term meets the files that have its rarest piece, and those are verified; pieces move in slices, so that a common piece is not
-    one task's work. The distinct terms that aren't literal always go to every task, which walks each of its paths once for
-    all of them. Every task keeps the best rows of a request before they are shuffled, so a popular term is no burden to one.
+    one task's work. There the distinct terms that aren't literal still go to every task, which walks each of its paths once for
+    all of them.
     Null and empty terms, and limits below one, find nothing.
     """
     scope = lambda c: F.coalesce(scope_column(F.col(c), cwd), F.lit("")) if c else F.lit("")
     wanted = queries.where(F.col(limit) > 0).where(F.col(term) != "").select(F.col(query_id).alias("q"), F.lower(term).alias("t"), scope(filter_scope).alias("within"), scope(boost_scope).alias("near"), F.col(limit).alias("n"))
     asked = wanted.groupBy("q", "t", "within", "near").agg(F.max("n").alias("n"))
+    # few bytes, much work: partitions that suit the bytes would leave it to one task
+    wide = files.sparkSession.sparkContext.defaultParallelism
+    every = asked.groupBy("t", "within", "near").agg(F.max("n").alias("n")).limit(at_once + 1).toArrow()
+    if every.num_rows <= at_once and fits(every.column("n").to_pylist()):
+        return _by_block(files.repartition(wide, "path"), asked, every, abbreviations).select(F.col("q").alias(query_id), "rank", "path", "score")
     most, sizes = asked.agg(F.coalesce(F.max("n"), F.lit(0)), F.collect_set(F.least(F.octet_length("t"), F.lit(3)))).first()
     terms = asked.select("t").distinct()
     slim = files.select("file_id", "path", "name_lc", "path_lc", "mtime", "depth", "context")
-    # few bytes, much work: partitions that suit the bytes would leave it to one task
-    wide = 4 * files.sparkSession.sparkContext.defaultParallelism
-    every = [r.t for r in terms.limit(at_once + 1).collect()]
-    if len(every) <= at_once:
-        found = slim.drop("file_id").repartition(wide, "path").mapInArrow(containing(every), ", ".join(["t string", *(f"{c} {k}" for c, k in slim.drop("file_id").dtypes)]))
-    else:
-        found = _by_rarest_piece(slim, terms, sorted(sizes))
+    found = _by_rarest_piece(slim, terms, sorted(sizes))
     kept = ("t", "path", "mtime", "depth", "context", "score")
     scored = found.withColumn("score", name_score(F.col("name_lc"), F.col("t"))).select(*kept)
-    some = every if len(every) <= at_once else [r.t for r in terms.where(F.translate("t", LITERAL, "") == F.col("t")).collect()]
-    loose = [t for t in some if not is_literal(t)] if abbreviations else []
+    loose = [r.t for r in terms.where(F.translate("t", LITERAL, "") == F.col("t")).collect()] if abbreviations else []
     if loose:
-        walked = files.select("name_lc", "path_lc", "initials", "mask", *kept[1:5]).repartition(wide, "path")
+        walked = files.select("name_lc", "path_lc", "initials", "mask", *kept[1:5]).repartition(4 * wide, "path")
         kinds = dict(walked.dtypes)
         scored = scored.unionByName(walked.mapInArrow(abbreviated(loose), ", ".join(["t string", *(f"{c} {kinds[c]}" for c in kept[1:5]), "score float"])))
     requests = asked.select("t", "within", "near").distinct()

@@ -1,10 +1,11 @@
 """Matching, scoring, ranking, scopes, filters and the index."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from pathloom.functions import display, paths, ranking
-from pathloom.operators import grouping, index
+from pathloom.operators import grouping, index, requests
 from pathloom.operators.search import Request, recent, search, search_dsl, search_many
 from pathloom.plans import dsl
 
@@ -137,6 +138,51 @@ def test_search_many_answers_whole_requests(spark, at_once):
         assert got.get(q, []) == [(r.rank, r.path, r.score) for r in single], (t, n, f, b)
 
 
+def _out_of_python(plan):
+    """Rows that the Python operators of an executed plan gave back."""
+    kind = plan.getClass().getSimpleName()
+    below = plan.executedPlan() if kind == "AdaptiveSparkPlanExec" else plan.plan() if kind.endswith("QueryStageExec") else None
+    if below is not None:
+        return _out_of_python(below)
+    own = plan.metrics().apply("pythonNumRowsReceived").value() if kind == "MapInArrowExec" else 0
+    return own + sum(_out_of_python(plan.children().apply(k)) for k in range(plan.children().size()))
+
+
+def test_search_many_moves_the_best_alone(spark):
+    """However many files match, a task lets out no more than the limit of each request."""
+    fx = files_of(spark, *[(f"/d{k % 3}/report_{k}.txt", None, k) for k in range(300)])
+    asked = spark.createDataFrame([(1, "report", 3, None), (2, "report", 2, "/d1"), (3, "rpt", 3, "/d2"), (4, "txt", 1, None)], "query_id bigint, term string, n int, b string")
+    many = search_many(fx, asked, query_id="query_id", term="term", limit="n", boost_scope="b")
+    assert len(many.collect()) == 9
+    assert 9 <= _out_of_python(many._jdf.queryExecution().executedPlan()) <= 9 * spark.sparkContext.defaultParallelism
+
+
+def test_best_of_blocks_of_any_size(monkeypatch):
+    """Blocks and chunks change what leaves a task, not what is best of it."""
+    paths_ = sorted({f"/r{k % 4}{'/é' * (k % 2)}/{'x' * (k % 9)}_main{k % 5}/Mod {k}.rs" for k in range(120)} | {"/r1", "/r1-a/main", "/r1/main", "/m\0n"})
+    low = [p.lower() for p in paths_]
+    columns = {"name_lc": [p.rsplit("/", 1)[-1] for p in low], "path_lc": low, "path": paths_, "mtime": [k % 6 or None for k in range(len(low))], "depth": [p.count("/") + 1 for p in low], "context": [-60 * (k % 2) for k in range(len(low))], "initials": ["/" + "".join(c[:1] for c in p.split("/")) for p in low], "mask": low}
+    types = {"mtime": pa.int64(), "depth": pa.int32(), "context": pa.int32()}
+    files = pa.table({c: pa.array(v, types.get(c, pa.string())) for c, v in columns.items()})
+    asked = [(t, w, b, n) for t in ("main", "mn", "rm", "é", "/r1", "mod 1", "zz", "m\0") for w in ("", "/r1", "/") for b in ("", "/r2", "/r1") for n in (1, 8, 500)]
+    table_ = pa.table(dict(zip(("t", "within", "near", "n"), map(list, zip(*asked)))))
+
+    def best():
+        got: dict = {}
+        for batch in requests.best_of_blocks(table_, True)(files.to_batches(max_chunksize=11)):
+            for r in batch.to_pylist():
+                got.setdefault(r["g"], []).append((-r["score"], -r["place"], -(r["mtime"] or 0), r["depth"], r["path"].encode()))
+        assert all(len(rows) == len(set(rows)) for rows in got.values())
+        return {g: sorted(rows)[: asked[g][3]] for g, rows in got.items()}
+
+    whole = best()
+    for block, chunk in ((7, 3), (1, 1), (64, 10)):
+        monkeypatch.setattr(requests, "BLOCK", block)
+        monkeypatch.setattr(requests, "CHUNK", chunk)
+        assert best() == whole
+    assert {asked[g][0] for g in whole} == {"main", "mn", "rm", "é", "/r1", "mod 1", "m\0"}
+
+
 def test_dsl():
     p = dsl.parse("foo ext:rs,.MD type:file path:Src/ bar", 1000)
     assert (p.term, p.exts, p.is_dir, p.paths) == ("foo bar", ("md", "rs"), False, ("src/",))
