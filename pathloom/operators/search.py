@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,8 +28,10 @@ from pathloom.session import broadcast_if_small
 ORDER = (("score", "desc"), ("place", "desc"), ("mtime", "desc"), ("depth", "asc"), ("path", "asc"))
 EXACT_ORDER = (("mtime", "desc"), ("depth", "asc"), ("path", "asc"))
 RECENT_ORDER = (("mtime", "desc"), ("file_id", "asc"))
-#: Distinct requests that go to every task at once (a few dozen bytes each).
+#: Distinct requests that go to every task in a pass (a few dozen bytes each).
 AT_ONCE = 200_000
+#: Passes over the files, of so many requests each, before requests are met by a join; all go to the driver.
+PASSES = 4
 #: Slices of a piece's files when many terms are answered at once.
 SLICES = 16
 # The bounds of the compatible modes.
@@ -199,14 +202,15 @@ def _by_rarest_piece(slim: DataFrame, terms: DataFrame, sizes: Sequence[int]) ->
     return near.where(matches_text(F.col("name_lc"), F.col("path_lc"), F.col("t")))
 
 
-def _by_block(files: DataFrame, asked: DataFrame, every: pa.Table, abbreviations: bool) -> DataFrame:
-    """``(q, rank, path, score)`` for the requests ``asked``, whose distinct ones are ``every``; what leaves a block holds a request's best of it."""
+def _by_block(files: DataFrame, asked: DataFrame, lots: Sequence[pa.Table], abbreviations: bool) -> DataFrame:
+    """``(q, rank, path, score)`` for the requests ``asked``, whose distinct ones come in ``lots``; what leaves a block holds a request's best of it."""
     held = files.select("name_lc", "path_lc", "path", F.col("mtime").cast("bigint").alias("mtime"), "depth", "context", *(("initials", "mask") if abbreviations else ()))
-    best = held.mapInArrow(best_of_blocks(every, abbreviations), KEPT).withColumn("rank", F.row_number().over(W.partitionBy("g").orderBy(*_order(ORDER))))
-    numbered = every.select(["t", "within", "near"]).append_column("g", pa.array(range(every.num_rows), pa.int32()))
-    of = asked.join(broadcast_if_small(files.sparkSession.createDataFrame(numbered)), ["t", "within", "near"]).select("q", "g", "n")
+    kept = [held.mapInArrow(best_of_blocks(lot, abbreviations), KEPT).withColumn("lot", F.lit(k)) for k, lot in enumerate(lots)]
+    best = reduce(DataFrame.unionByName, kept).withColumn("rank", F.row_number().over(W.partitionBy("lot", "g").orderBy(*_order(ORDER))))
+    numbered = pa.concat_tables(lot.select(["t", "within", "near"]).append_column("g", pa.array(range(lot.num_rows), pa.int32())).append_column("lot", pa.array([k] * lot.num_rows, pa.int32())) for k, lot in enumerate(lots))
+    of = asked.join(broadcast_if_small(files.sparkSession.createDataFrame(numbered)), ["t", "within", "near"]).select("q", "lot", "g", "n")
     # the limit is a column, so no task sorts its rows before they move; each has few
-    answers = best.where(F.col("rank") <= F.col("most")).select("g", "rank", "path", "score").join(of, "g")
+    answers = best.where(F.col("rank") <= F.col("most")).select("lot", "g", "rank", "path", "score").join(of, ["lot", "g"])
     return answers.where(F.col("rank") <= F.col("n")).select("q", "rank", "path", "score")
 
 
@@ -218,9 +222,9 @@ def search_many(
     ``filter_scope`` and ``boost_scope`` name the columns of the scopes, if there are any; null and blank scopes are none.
     Without ``abbreviations`` terms are looked for as substrings only.
 
-    Equal terms are matched and scored once, equal (term, filter scope, boost scope) ranked once. Up to ``at_once`` of these distinct
-    requests go to the driver and from there to every task, which answers all of them over its own files, block by block, and
-    lets out no more than a request's limit of each block: matches themselves are neither moved nor sorted. More requests, or
+    Equal terms are matched and scored once, equal (term, filter scope, boost scope) ranked once. These distinct requests go to the
+    driver and from there, ``at_once`` in a pass over the files, to every task, which answers all of them over its own files, block by
+    block, and lets out no more than a request's limit of each block: matches themselves are neither moved nor sorted. More than four passes, or
     limits beyond a block's memory, are met by an equi-join: a file is cut into pieces of three bytes (or as short as a term is), a
     term meets the files that have its rarest piece, and those are verified; pieces move in slices, so that a common piece is not
     one task's work. There the distinct terms that aren't literal still go to every task, which walks each of its paths once for
@@ -232,9 +236,13 @@ def search_many(
     asked = wanted.groupBy("q", "t", "within", "near").agg(F.max("n").alias("n"))
     # few bytes, much work: partitions that suit the bytes would leave it to one task
     wide = files.sparkSession.sparkContext.defaultParallelism
-    every = asked.groupBy("t", "within", "near").agg(F.max("n").alias("n")).limit(at_once + 1).toArrow()
-    if every.num_rows <= at_once and fits(every.column("n").to_pylist()):
-        return _by_block(files.repartition(wide, "path"), asked, every, abbreviations).select(F.col("q").alias(query_id), "rank", "path", "score")
+    every = asked.groupBy("t", "within", "near").agg(F.max("n").alias("n")).limit(PASSES * at_once + 1).toArrow()
+    if every.num_rows <= PASSES * at_once:
+        by_term = every.sort_by("t")
+        # taken rather than sliced: a slice would travel with all rows
+        lots = [by_term.take(pa.array(range(begin, min(begin + at_once, by_term.num_rows)), pa.int64())) for begin in range(0, max(by_term.num_rows, 1), max(at_once, 1))]
+        if all(fits(lot.column("n").to_pylist()) for lot in lots):
+            return _by_block(files.repartition(wide, "path"), asked, lots, abbreviations).select(F.col("q").alias(query_id), "rank", "path", "score")
     most, sizes = asked.agg(F.coalesce(F.max("n"), F.lit(0)), F.collect_set(F.least(F.octet_length("t"), F.lit(3)))).first()
     terms = asked.select("t").distinct()
     slim = files.select("file_id", "path", "name_lc", "path_lc", "mtime", "depth", "context")

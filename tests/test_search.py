@@ -157,6 +157,16 @@ def test_search_many_moves_the_best_alone(spark):
     assert 9 <= _out_of_python(many._jdf.queryExecution().executedPlan()) <= 9 * spark.sparkContext.defaultParallelism
 
 
+@pytest.mark.parametrize("at_once", [3, 4])
+def test_search_many_in_passes(spark, at_once):
+    fx = files_of(spark, *[(f"/d{k % 3}/report_{k}.txt", None, k) for k in range(40)])
+    asked = spark.createDataFrame([(k, t, 4, b) for k, (t, b) in enumerate((t, b) for t in ("report", "rpt", "txt", "d2/") for b in (None, "/d1", "/d2"))], "query_id bigint, term string, n int, b string")
+    ask = lambda n: sorted(map(tuple, search_many(fx, asked, query_id="query_id", term="term", limit="n", boost_scope="b", at_once=n).collect()))
+    once = ask(1_000)
+    assert len(once) == 48 and ask(at_once) == once
+    assert search_many(fx, asked.withColumn("n", F.lit(0)), query_id="query_id", term="term", limit="n", at_once=at_once - 3).collect() == []
+
+
 def test_best_of_blocks_of_any_size(monkeypatch):
     """Blocks and chunks change what leaves a task, not what is best of it."""
     paths_ = sorted({f"/r{k % 4}{'/é' * (k % 2)}/{'x' * (k % 9)}_main{k % 5}/Mod {k}.rs" for k in range(120)} | {"/r1", "/r1-a/main", "/r1/main", "/m\0n"})
